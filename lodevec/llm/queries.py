@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodevec.llm import leakage, mixing, termfreq
+from lodevec.llm import leakage, mixing, multihash, nearsketch, termfreq
 from lodevec.session import table, written
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,31 @@ def query(name: str, sql: str | None = None) -> Callable[[Q], Q]:
     return add
 
 
+DIM, VEC_DIM = 64, 32
+
+# --- 2: nearest vectors ------------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
+    items = table(spark, d, "items").select("id", "build_id", F.col("embedding").alias("vec"))
+    return [("items", DIM, items), ("nodes", VEC_DIM, table(spark, d, "nodes").select("id", "build_id", "vec"))]
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    each = [multihash.near_pairs(v, dim).select(F.lit(name).alias("table_name"), "id_a", "id_b") for name, dim, v in _vectors(spark, d)]
+    return each[0].unionByName(each[1])
+
+
+@query("p2_neighbours")
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    each = []
+    for name, dim, v in _vectors(spark, d):
+        near = multihash.neighbours(v, dim).select("id", F.posexplode("near").alias("rank", "n"))
+        each.append(near.select(F.lit(name).alias("table_name"), "id", (F.col("rank") + 1).alias("rank"), F.col("n.o").alias("near_id"), F.sqrt("n.d").alias("dist")))
+    return each[0].unionByName(each[1])
+
+
 # --- 3: frequency of terms ---------------------------------------------------------------------------------------
 
 _WORDS = "SELECT 'text' AS field, build_id, id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM items"
@@ -100,3 +125,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_mixture")
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[0]
+
+
+# --- 5: near-duplicates ------------------------------------------------------------------------------------------
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearsketch.near_pairs(table(spark, d, "items").select("id", "build_id", "text", "embedding"), DIM)
+
+
+@query("p5_groups")
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return nearsketch.near_groups(table(spark, d, "items").select("id", "build_id", "text", "embedding"), DIM)
