@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodevec.llm import leakage, mixing, multihash, nearsketch, termfreq
+from lodevec.llm import leakage, mixing, mixture_groups, multihash, nearsketch, pii, termfreq
 from lodevec.session import table, written
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,23 @@ def query(name: str, sql: str | None = None) -> Callable[[Q], Q]:
 
 DIM, VEC_DIM = 64, 32
 
+# --- 1: groups of similar records --------------------------------------------------------------------------------
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_groups.groups(table(spark, d, "items").select("id", "build_id", F.col("embedding").alias("vec")), DIM)
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d).select(F.col("build_id").cast("int").alias("build_id"), "group_id", "id")
+
+
+@query("p1_groups")
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_groups.described(_groups(spark, d))
+
+
 # --- 2: nearest vectors ------------------------------------------------------------------------------------------
 
 
@@ -137,3 +154,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_groups")
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return nearsketch.near_groups(table(spark, d, "items").select("id", "build_id", "text", "embedding"), DIM)
+
+
+# --- 8: personal information -------------------------------------------------------------------------------------
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "documents"), table(spark, d, "known_names")).select("doc_id", "kind", "value").distinct()
+
+
+@query("p8_redacted")
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"), table(spark, d, "known_names"))
