@@ -85,7 +85,8 @@ def gram_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(letter) < 3:
         return np.zeros(0, "i8"), np.zeros(0, "i8")
     code = letter[:-2] * 729 + letter[1:-1] * 27 + letter[2:]
-    key = np.unique((row[:-2] * _GRAM_CODES + code)[row[:-2] == row[2:]])
+    key = np.sort((row[:-2] * _GRAM_CODES + code)[row[:-2] == row[2:]])
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key  # several times as fast as unique
     return key // _GRAM_CODES, key % _GRAM_CODES
 
 
@@ -268,11 +269,21 @@ def _with_reps(copies: DataFrame) -> DataFrame:
 
 def text_links(items: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """((a, b) pairs of representatives, (id, rep) copies): items of a build with Jaccard similarity of at least
-    `least` between their distinct trigrams, of which each has 12 or more. Null texts have no part."""
+    `least` between their distinct trigrams, of which each has 12 or more. Null texts have no part, and copies of a
+    text with fewer trigrams are none."""
     rows = items.filter("text is not null and build_id is not null and id is not null").select("id", "build_id", T.preprocess(F.col("text")).alias("text"))
     rows = rows.filter(F.length("text") >= MIN_GRAMS + 2)
     copies = written(classes(rows, F.col("text")), "text-copies")
     single = rows.join(_with_reps(copies), "id", "left_anti")
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                size = np.bincount(gram_codes(batch.column("text"))[0], minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(size >= MIN_GRAMS))], names=["rep"])
+
+    reps = rows.join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(enough, "rep long")
+    copies = copies.join(reps, "rep", "left_semi")
     parts = _parts(items)
     close = _candidates(single.mapInArrow(_text_sketches(parts), _BLOB), parts, TEXT_FAR, "text-buckets")
     pairs = close.join(rows.select(F.col("id").alias("a"), F.col("build_id").alias("ba"), F.col("text").alias("ta")), "a")
@@ -284,7 +295,8 @@ def text_links(items: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFra
                 continue
             n = batch.num_rows
             (ra, ca), (rb, cb) = gram_codes(batch.column("ta")), gram_codes(batch.column("tb"))
-            shared = np.intersect1d(ra * _GRAM_CODES + ca, rb * _GRAM_CODES + cb, assume_unique=True) // _GRAM_CODES
+            both = np.sort(np.concatenate([ra * _GRAM_CODES + ca, rb * _GRAM_CODES + cb]))
+            shared = both[:-1][both[1:] == both[:-1]] // _GRAM_CODES
             na, nb, ns = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n), np.bincount(shared, minlength=n)
             good = (np.minimum(na, nb) >= MIN_GRAMS) & (ns >= least * (na + nb - ns) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
@@ -317,13 +329,8 @@ def vector_links(items: DataFrame, dim: int, least: float = 0.98) -> tuple[DataF
     return pairs.select("a", "b", "ea", "eb").mapInArrow(verify, "a long, b long"), copies
 
 
-def expanded(links: DataFrame, copies: DataFrame, texts: bool, items: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: links between representatives spread to all their copies, and pairs inside a class.
-    Of classes of texts those with fewer than 12 distinct trigrams give no pairs."""
-    if texts:
-        grams = F.size(F.array_distinct(T.trigrams(T.preprocess(F.col("text")))))
-        big = items.join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").filter(grams >= MIN_GRAMS).select(F.col("id").alias("rep"))
-        copies = copies.join(big, "rep", "left_semi")
+def expanded(links: DataFrame, copies: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: links between representatives spread to all their copies, and pairs inside a class."""
     left, right = copies.select(F.col("rep").alias("a"), F.col("id").alias("ia")), copies.select(F.col("rep").alias("b"), F.col("id").alias("ib"))
     full = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ia", "a").alias("x"), F.coalesce("ib", "b").alias("y"))
     inside = left.join(right.withColumnRenamed("b", "a"), "a").filter("ia < ib").select(F.col("ia").alias("x"), F.col("ib").alias("y"))
@@ -335,7 +342,7 @@ def near_pairs(items: DataFrame, dim: int, jaccard: float = 0.6, cosine: float =
     by embedding. Copies are expanded to pairs."""
     t_links, t_copies = text_links(items, jaccard)
     v_links, v_copies = vector_links(items, dim, cosine)
-    return expanded(t_links, t_copies, True, items).unionByName(expanded(v_links, v_copies, False, items)).distinct()
+    return expanded(t_links, t_copies).unionByName(expanded(v_links, v_copies)).distinct()
 
 
 def near_groups(items: DataFrame, dim: int, jaccard: float = 0.6, cosine: float = 0.98, most_rounds: int = 30) -> DataFrame:
