@@ -184,6 +184,32 @@ def _sum_rows(key: np.ndarray, weight: np.ndarray, z: np.ndarray) -> tuple[np.nd
     return names, np.add.reduceat(weight[order], start), np.add.reduceat(weight[order][:, None] * z[order], start)
 
 
+def joined(n: np.ndarray, s: np.ndarray, q: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts, sums and sums of squares of components, those joined that are pieces of one: their means lie within half
+    the spread of the pooled component and the information criterion gains by it. Pieces come from spots at the edge
+    of a cell."""
+    while len(n) > 1:
+        mean, spread = s / n[:, None], np.maximum(q / n[:, None] - (s / n[:, None]) ** 2, 1e-4)
+        near = 0.5 * (n[:, None] * spread).sum() / n.sum()
+        m2 = np.square(mean).sum(1)
+        gone = np.zeros(len(n), "?")
+        for i in range(0, len(n), 1024):
+            d = m2[i : i + 1024, None] + m2[None] - 2 * mean[i : i + 1024] @ mean.T
+            for a, b in zip(*np.nonzero(d <= near)):
+                a += i
+                if a >= b or gone[a] or gone[b]:
+                    continue
+                both = np.maximum((q[a] + q[b]) / (n[a] + n[b]) - ((s[a] + s[b]) / (n[a] + n[b])) ** 2, 1e-4)
+                loss = (n[a] + n[b]) * np.log(both).sum() - n[a] * np.log(spread[a]).sum() - n[b] * np.log(spread[b]).sum()
+                if loss < (2 * s.shape[1] + 1) * math.log(max(rows, 2)):
+                    n[a], s[a], q[a], gone[b] = n[a] + n[b], s[a] + s[b], q[a] + q[b], True
+                    spread[a] = both
+        if not gone.any():
+            break
+        n, s, q = n[~gone], s[~gone], q[~gone]
+    return n, s, q
+
+
 class Fit:
     """A mixture per build over vectors (id, build_id, vec)."""
 
@@ -327,9 +353,9 @@ class Fit:
         for _ in range(EM_ROUNDS):
             stats, fit = self._pass(self.models, True)
             for b, m in self.models.items():
-                n, s, q = stats[b]
-                on = n >= 1
-                self.models[b] = self._mixture(b, n[on], s[on] / n[on, None], q[on] / n[on, None])
+                on = stats[b][0] >= 1
+                n, s, q = joined(*(x[on] for x in stats[b]), self.spaces[b].rows)
+                self.models[b] = self._mixture(b, n, s / np.maximum(n, 1)[:, None], q / np.maximum(n, 1)[:, None])
             if before and all(fit[b] - before[b] < 1e-3 * self.spaces[b].rows for b in fit):
                 break
             before = fit
