@@ -352,11 +352,14 @@ class Fit:
         before: dict[int, float] = {}
         for _ in range(EM_ROUNDS):
             stats, fit = self._pass(self.models, True)
-            for b, m in self.models.items():
+            for b in list(self.models):
                 on = stats[b][0] >= 1
+                if not on.any():  # all of it is background
+                    del self.models[b]
+                    continue
                 n, s, q = joined(*(x[on] for x in stats[b]), self.spaces[b].rows)
                 self.models[b] = self._mixture(b, n, s / np.maximum(n, 1)[:, None], q / np.maximum(n, 1)[:, None])
-            if before and all(fit[b] - before[b] < 1e-3 * self.spaces[b].rows for b in fit):
+            if not self.models or before and all(fit[b] - before[b] < 1e-3 * self.spaces[b].rows for b in fit):
                 break
             before = fit
 
