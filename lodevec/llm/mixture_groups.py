@@ -184,6 +184,21 @@ def _sum_rows(key: np.ndarray, weight: np.ndarray, z: np.ndarray) -> tuple[np.nd
     return names, np.add.reduceat(weight[order], start), np.add.reduceat(weight[order][:, None] * z[order], start)
 
 
+def one_mean(means: np.ndarray, weight: np.ndarray, least: float) -> np.ndarray:
+    """For each component the one it belongs to: the heaviest of those whose mean has a cosine of at least `least`
+    with its own. No row is so near to the means of two groups, so such components are parts of one."""
+    size = np.sqrt(np.square(means).sum(1))
+    unit = means / np.maximum(size, 1e-12)[:, None]
+    of, rank = np.arange(len(means)), np.argsort(np.argsort(-weight, kind="stable"), kind="stable")
+    for i in range(0, len(means), 1024):
+        near = unit[i : i + 1024] @ unit.T >= least
+        near[np.arange(len(near)), np.arange(i, i + len(near))] = True
+        of[i : i + 1024] = np.where(near, rank[None], len(means)).argmin(1)
+    while (of[of] != of).any():
+        of = of[of]
+    return of
+
+
 def joined(n: np.ndarray, s: np.ndarray, q: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts, sums and sums of squares of components, those joined that are pieces of one: their means lie within half
     the spread of the pooled component and the information criterion gains by it. Pieces come from spots at the edge
@@ -219,6 +234,7 @@ class Fit:
         rows = rows.filter("id is not null and build_id is not null and vec is not null")
         self.spaces = _moments(rows, dim)
         self.models: dict[int, Mixture] = {}
+        self.same: dict[int, np.ndarray] = {}
         if self.spaces:
             self.rows = self._laid_out(rows)
             self._fit()
@@ -447,6 +463,7 @@ class Fit:
         that are not background, with means those whose cosine with their component's mean is at least `least`."""
         shared, dim = self._shared(self.models), self.dim
         centre = self.spark.sparkContext.broadcast(means)
+        same = self.spark.sparkContext.broadcast(self.same)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             models, spaces = shared.value
@@ -456,6 +473,7 @@ class Fit:
                 lp, bg = models[b].log_density(spaces[b](x), spaces[b])
                 k = lp.argmax(1)
                 d = lp[np.arange(len(x)), k]
+                k = same.value[b][k] if b in same.value else k
                 if centre.value is None:
                     good = d > bg
                 else:
@@ -496,7 +514,7 @@ class Fit:
         out = {b: np.zeros((len(m.weight), dim)) for b, m in self.models.items()}
         for r in self.rows.mapInArrow(run, schema).repartition("build_id", "k").mapInArrow(reduce, schema).toLocalIterator():
             v = np.frombuffer(r.s, "f8")
-            out[r.build_id][r.k] = v[1:] / v[0]
+            out[r.build_id][r.k] = v[1:] / v[0]  # of a component that is part of another, zero stays
         return out
 
     def members(self, least: float) -> DataFrame:
@@ -506,6 +524,9 @@ class Fit:
         if not self.models:
             return self.spark.createDataFrame([], schema)
         means = self._means(None, least)
+        # rows loaded several times make clumps that can pass for components; their mean lies in the group's range
+        self.same = {b: one_mean(m, self.models[b].weight, least) for b, m in means.items()}
+        means = self._means(None, least)
         means = self._means(means, least)
         label = self._labelled(means, least)
 

@@ -65,3 +65,15 @@ def test_density_is_that_of_a_gaussian():
     lp, bg = m.log_density(np.array([[0.0, 1.0]], "f4"), s)
     assert np.allclose(lp[0, 0], np.log(0.5) - 0.5 * (np.log(1.0) + 1 / 2 + 1 / 0.5), atol=1e-5)
     assert np.allclose(bg[0], np.log(0.5) - 0.5, atol=1e-5)
+
+
+def test_clumps_of_reloaded_rows_stay_in_their_group(spark):
+    rows, groups = planted([400, 90], seed=7)
+    again = [(5000 + i, 1, (np.array(rows[3][2]) + np.random.default_rng(i).normal(size=64) * 0.002).tolist()) for i in range(30)]
+    got = M.groups(spark.createDataFrame(rows + again, SCHEMA), 64)
+    assert found(got) == sorted([sorted(groups[0] + [r[0] for r in again]), groups[1]])
+
+
+def test_one_mean():
+    m = np.array([[1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [0.0, 0.0]])
+    assert M.one_mean(m, np.array([1.0, 2.0, 1.0, 1.0]), 0.7).tolist() == [1, 1, 2, 3]
