@@ -226,11 +226,32 @@ def topk(corpus: DataFrame, regex: str, qvec: list[float], k: int = 10, metric:
     return rows.select("id", V.METRICS[metric](F.col("vec"), q).alias("dist")).orderBy("dist", "id").limit(k)
 
 
+#: Patterns counted as expressions of one projection; more of them are counted on Arrow batches.
+EXPRESSIONS = 32
+
+
 def match_counts(corpus: DataFrame, patterns: dict[int, str], case_sensitive: bool = False) -> DataFrame:
-    """(qid, matches) of every valid pattern, 0 included: one pass, each pattern a literal that is compiled once."""
+    """(qid, matches) of every valid pattern, 0 included, in one pass over the texts. Null texts match nothing. Each
+    distinct pattern is compiled once a task."""
     good = {q: p for q, p in patterns.items() if regexplan.valid(p)}
+    spark = corpus.sparkSession
     if not good:
-        return corpus.sparkSession.createDataFrame([], "qid long, matches long")
-    counts = corpus.agg(*[F.count_if(F.col("str").rlike(regexplan.to_java(p, case_sensitive))).alias(f"m{q}") for q, p in good.items()])
-    rows = F.array(*[F.struct(F.lit(q).cast("long").alias("qid"), F.col(f"m{q}").alias("matches")) for q in good])
-    return counts.select(F.inline(rows))
+        return spark.createDataFrame([], "qid long, matches long")
+    if len(good) <= EXPRESSIONS:
+        counts = corpus.agg(*[F.count_if(F.col("str").rlike(regexplan.to_java(p, case_sensitive))).alias(f"m{q}") for q, p in good.items()])
+        rows = F.array(*[F.struct(F.lit(q).cast("long").alias("qid"), F.col(f"m{q}").alias("matches")) for q in good])
+        return counts.select(F.inline(rows))
+    distinct = sorted(set(good.values()))
+    at = {p: i for i, p in enumerate(distinct)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search, n = [regexplan.compiled(p, case_sensitive).search for p in distinct], np.zeros(len(distinct), "i8")
+        for b in batches:
+            texts = [t for t in b.column("str").to_pylist() if t is not None]
+            for i, s in enumerate(search):
+                n[i] += sum(1 for t in texts if s(t))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["p", "n"])
+
+    per = corpus.select("str").mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("matches"))
+    names = spark.createDataFrame([(q, at[p]) for q, p in good.items()], "qid long, p long")
+    return names.join(F.broadcast(per), "p", "left").select("qid", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))

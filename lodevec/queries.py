@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodevec.functions import text as T
 from lodevec.functions import vector as V
-from lodevec.operators import cluster, evaluate, exact, gramindex, graph, heavykeys, pq, search, workload
+from lodevec.operators import cluster, evaluate, exact, gramindex, graph, heavykeys, pq, search, sweep, workload
 from lodevec.plans import regexplan
 from lodevec.session import table, written
 from lodevec.sources import textio
@@ -499,6 +499,59 @@ def selectivity_band(spark: SparkSession, d: str) -> DataFrame:
     return workload.with_selectivity(q, exact.match_counts(rows, dict(enumerate(PATTERNS))), rows.count(), 0.01, 0.5, K).select("qid", "matches")
 
 
+_SOURCES = "w AS (SELECT * FROM (SELECT id, list_transform(list_filter(regexp_extract_all(text, '([A-Za-z]+)', 1), lambda w: len(w) >= 3), lambda w: lower(w)) AS w FROM items WHERE text IS NOT NULL AND id % 100 = 0))"
+_GENERATED = (
+    f"{_ITEMS}, {_SOURCES}, made AS (" + " UNION ALL ".join(f"SELECT id * 10 + {i} AS qid, id, '{n}' AS style, regex FROM ({_STYLE_SQL[n]})" for i, n in enumerate(workload.STYLES)) + "), "
+    "counted AS (SELECT qid, count(*) AS matches FROM made JOIN items ON regexp_matches(text, regex, 'i') GROUP BY qid), "
+    f"kept AS (SELECT made.*, matches FROM made JOIN counted USING (qid), (SELECT count(*) AS n FROM items) WHERE matches BETWEEN greatest({K}, ceil(n * 0.01)) AND floor(n * 0.5))"
+)
+
+
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    rows = items(spark, d)
+    return workload.generate(rows, rows.filter("id % 100 = 0"), 0.01, 0.5, K)
+
+
+@query("query_gen_accepted", f"WITH {_GENERATED} SELECT qid, id, style, regex, matches FROM kept")
+def query_gen_accepted(spark: SparkSession, d: str) -> DataFrame:
+    return _generated(spark, d).drop("qvec")
+
+
+@query("query_gen_truth", f"WITH {_GENERATED}, q AS (SELECT qid, regex, vec AS qvec, build_id FROM kept JOIN corpus USING (id)), {_GT} {_TOP.format('hits', K)}")
+def query_gen_truth(spark: SparkSession, d: str) -> DataFrame:
+    q = written(_generated(spark, d), "workload").join(items(spark, d).select("id", "build_id"), "id")
+    return rounded(exact.groundtruth(items(spark, d), q, K))
+
+
+@query("recall_external", f"WITH {_RECALL} SELECT qid, hits, wanted, round(hits / {K}, 6) AS recall FROM r")
+def recall_external(spark: SparkSession, d: str) -> DataFrame:
+    """Recall as the external baseline counts it: hits by k, whatever the size of the ground truth."""
+    rows, q = items(spark, d), item_queries(spark, d)
+    got = evaluate.recall(q, exact.groundtruth(rows, q, K), exact.postfilter(rows, q, K, 10, 10), K, "k")
+    return got.withColumn("recall", F.round("recall", 6))
+
+
+@query("cluster_set_operations", f"WITH {_INDEX}, a AS (SELECT cluster_id FROM may WHERE qid = (SELECT min(qid) FROM q)), b AS (SELECT cluster_id FROM cg WHERE gram = 'red') SELECT 'both' AS op, cluster_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'any', cluster_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'all', cluster_id FROM centroids")
+def cluster_set_operations(spark: SparkSession, d: str) -> DataFrame:
+    q = part_queries(spark, d)
+    first = q.join(q.agg(F.min("qid").alias("qid")), "qid")
+    a = search.candidate_clusters(first, cluster_grams(spark, d), centroids(spark, d)).select("cluster_id")
+    b = cluster_grams(spark, d).filter("gram = 'red'").select("cluster_id")
+    each = {"both": a.intersect(b), "any": a.union(b).distinct(), "all": centroids(spark, d).select("cluster_id")}
+    out = [df.select(F.lit(op).alias("op"), "cluster_id") for op, df in each.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("parameter_sweep")
+def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
+    rows, q = parts(spark, d), written(part_queries(spark, d), "queries")
+    truth = written(exact.groundtruth(rows, q, K), "truth")
+    runs = [("ann", "ef", ef, lambda ef=ef: _ann(spark, d, ef, 8)) for ef in (10, 20, 50, 100)]
+    runs += [("prefilter", "sample_ratio", r, lambda r=r: exact.prefilter(rows, q, K, r)) for r in (1.0, 0.5, 0.3)]
+    runs += [("postfilter", "max_expansion", m, lambda m=m: exact.postfilter(rows, q, K, 10, m)) for m in (10, 100)]
+    return sweep.together({"parts": sweep.sweep(q, truth, runs, K)})
+
+
 @query("query_text_codec", f"WITH {_ITEMS}, {_ITEM_Q} SELECT qid, regex, i::INT AS pos, round(printf('%.6f', qvec[i + 1])::FLOAT::DOUBLE, 6) AS x FROM (SELECT * FROM q WHERE regex NOT LIKE '% %'), range({DIM}) t(i)")
 def query_text_codec(spark: SparkSession, d: str) -> DataFrame:
     lines = textio.format_queries(item_queries(spark, d).filter(~F.col("regex").contains(" ")))
