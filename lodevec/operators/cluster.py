@@ -1,6 +1,6 @@
 """k-means over (id, vec), one level or two, and the ranking of clusters for a query.
 
-Rows whose vec is not usable take no part. Centroids are (cluster_id, centroid); the number of clusters is a parameter,
+Rows with a null id or a vec that is not usable take no part. Centroids are (cluster_id, centroid); the number of clusters is a parameter,
 so centroids are small by definition and travel with the task.
 """
 
@@ -53,7 +53,7 @@ def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
                     names=["id", "cluster_id", "dist"],
                 )
 
-    return rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).mapInArrow(run, out)
+    return rows.filter("id is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).mapInArrow(run, out)
 
 
 def update(rows: DataFrame, membership: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def hierarchical(rows: DataFrame, k0: int, k1: int, max_iter: int = 30, seed: in
 
         return run
 
-    plain = rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
+    plain = rows.filter("id is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
     dim = c1.shape[1]
     for _ in range(max_iter):
         new = c1.copy()

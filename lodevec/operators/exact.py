@@ -2,7 +2,7 @@
 
 A corpus is (id, str, vec), a query batch (qid, regex, qvec). Where both have a build_id, a query sees the rows of its
 own build only; a query or row with a null build_id then sees nothing. All results are (qid, rank, id, dist), ordered by
-distance, equal distances by id. Rows with a null str match nothing, rows whose vec is not usable have no distance
+distance, equal distances by id. Rows with a null id and queries with a null qid are left out, rows with a null str match nothing, rows whose vec is not usable have no distance
 and never come out; a query with an invalid or null regex or an unusable qvec has no result. Empty tables give empty
 results. Columns besides those named are ignored.
 
@@ -38,7 +38,7 @@ def batch(queries: DataFrame) -> list[list[Query]]:
     are left out. Of a qid given more than once all rows count, as one query each would."""
     got, block, room = [], [], 0
     build = F.col("build_id") if "build_id" in queries.columns else F.lit(None)
-    for r in queries.select("qid", "regex", "qvec", build.alias("build")).toLocalIterator():
+    for r in queries.filter("qid is not null").select("qid", "regex", "qvec", build.alias("build")).toLocalIterator():
         v = r.qvec
         if v is None or any(x is None or np.isnan(x) for x in v) or not any(v) or not regexplan.valid(r.regex):
             continue
@@ -149,7 +149,7 @@ def _scan(corpus: DataFrame, queries: DataFrame, keep: int | None, metric: str,
         raise ValueError(f"metric is one of {sorted(V.METRICS)}")
     builds = "build_id" in corpus.columns and "build_id" in queries.columns
     build = F.col("build_id").cast("long") if builds else F.lit(None).cast("long")
-    rows = corpus.select(F.col("id").cast("long").alias("id"), "str", F.col("vec").cast("array<float>").alias("vec"), build.alias("build"))
+    rows = corpus.filter("id is not null").select(F.col("id").cast("long").alias("id"), "str", F.col("vec").cast("array<float>").alias("vec"), build.alias("build"))
     out = corpus.sparkSession.createDataFrame([], _HITS)
     for block in batch(queries):
         dims = {len(q.vec) for q in block}

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions import text as T
 from lodevec.functions import vector as V
-from lodevec.operators.exact import smallest
 
 #: Rows of one block. A pair of blocks is one task's work: two vectors sets and a strip of distances in memory.
 BLOCK = 16_384
@@ -21,13 +17,13 @@ _EDGE = "build_id int, src long, dst long, dist double"
 
 def knn_edges(rows: DataFrame, dim: int, k: int = 16) -> DataFrame:
     """(build_id, src, dst, dist, rank): the exact k nearest other rows of the build for every usable row, by
-    (distance, id). Rows: (id, build_id, vec).
+    (distance, id). Rows: (id, build_id, vec); those with a null id or build_id or an unusable vec take no part.
 
     A build is cut into blocks by a hash of the id, about BLOCK rows each; every ordered pair of blocks is one unit of
     work, found by one matrix product in strips, and gives at most k candidates a row. Work is quadratic in a build,
     as exactness wants; the index-backed way is the similarity search over binary codes.
     """
-    good = rows.filter(V.usable(F.col("vec"), dim)).select(F.col("id").cast("long").alias("id"), F.col("build_id").cast("int").alias("build_id"), F.col("vec").cast("array<float>").alias("vec"))
+    good = rows.filter("id is not null and build_id is not null").filter(V.usable(F.col("vec"), dim)).select(F.col("id").cast("long").alias("id"), F.col("build_id").cast("int").alias("build_id"), F.col("vec").cast("array<float>").alias("vec"))
     blocks = good.groupBy("build_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     placed = good.join(F.broadcast(blocks), "build_id").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     other = F.sequence(F.lit(0), F.col("nb") - 1)
@@ -39,18 +35,24 @@ def knn_edges(rows: DataFrame, dim: int, k: int = 16) -> DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"build_id": [], "src": [], "dst": [], "dist": []})
         a, b = np.stack(q.vec.values).astype("f8"), np.stack(x.vec.values).astype("f8")
-        qi, xi, b2 = q.id.values, x.id.values, np.square(b).sum(1)
-        out = []
-        for i in range(0, len(a), 512):
-            fast = b2[None] - 2 * a[i : i + 512] @ b.T
-            near = np.argpartition(fast, min(k + 8, len(xi) - 1), 1)[:, : k + 8]
-            for r in range(len(near)):
-                d = np.sqrt(np.square(b[near[r]] - a[i + r]).sum(1))
-                ids = xi[near[r]]
-                other = ids != qi[i + r]
-                d, ids = d[other], ids[other]
-                s = smallest(d, ids, k)
-                out.append(pd.DataFrame({"src": qi[i + r], "dst": ids[s], "dist": d[s]}))
+        qi, order = q.id.values, np.argsort(x.id.values)
+        b, xi = b[order], x.id.values[order]
+        own = np.searchsorted(xi, qi)
+        own = np.where((own < len(xi)) & (xi[np.minimum(own, len(xi) - 1)] == qi), own, -1)
+        b2, out = np.square(b).sum(1), []
+        slack = 1e-12 * (b2.max() + np.square(a).sum(1).max())
+        for i in range(0, len(a), 256):
+            fast = b2[None] - 2 * a[i : i + 256] @ b.T
+            me = own[i : i + 256]
+            fast[np.flatnonzero(me >= 0), me[me >= 0]] = np.inf
+            bound = np.partition(fast, k - 1, 1)[:, k - 1] + slack if fast.shape[1] > k else np.full(len(fast), np.finfo("f8").max)
+            row, col = np.nonzero(fast <= bound[:, None])
+            dist = np.concatenate([np.square(a[i + row[s : s + 100_000]] - b[col[s : s + 100_000]]).sum(1) for s in range(0, len(row), 100_000)] or [np.zeros(0)])
+            by = np.lexsort((xi[col], dist, row))
+            row, col, dist = row[by], col[by], dist[by]
+            start = np.searchsorted(row, np.arange(len(fast)))
+            first = np.arange(len(row)) - start[row] < k
+            out.append(pd.DataFrame({"src": qi[i + row[first]], "dst": xi[col[first]], "dist": np.sqrt(dist[first])}))
         got = pd.concat(out, ignore_index=True)
         got.insert(0, "build_id", pdf.build_id.iloc[0])
         return got

@@ -60,14 +60,19 @@ def train(rows: DataFrame, dim: int, m: int = 8, k_sub: int = 256, iters: int =
 def books(codebook: DataFrame) -> np.ndarray:
     """[sub][code][sub_dim]; at most 256 codes a sub-space."""
     got = codebook.orderBy("sub", "code").collect()
+    if not got:
+        return np.zeros((0, 0, 0))
     m = 1 + max(r["sub"] for r in got)
     return np.array([[r.centroid for r in got if r["sub"] == s] for s in range(m)], "f8")
 
 
 def encode(rows: DataFrame, codebook: DataFrame) -> DataFrame:
-    """(id, code): the nearest code word of each slice, of equal ones the lowest code. Unusable rows have no code."""
+    """(id, code): the nearest code word of each slice, of equal ones the lowest code. Unusable rows and rows with a
+    null id have no code; with an empty codebook no row has."""
     b = books(codebook)
     m, _, sub = b.shape
+    if not m:
+        return rows.sparkSession.createDataFrame([], "id long, code array<smallint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,7 +84,7 @@ def encode(rows: DataFrame, codebook: DataFrame) -> DataFrame:
                     [batch.column("id").take(pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))], names=["id", "code"]
                 )
 
-    return rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).mapInArrow(run, "id long, code array<smallint>")
+    return rows.filter("id is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")).mapInArrow(run, "id long, code array<smallint>")
 
 
 def distance_table(queries: DataFrame, codebook: DataFrame, sub_dim: int) -> DataFrame:

@@ -180,3 +180,34 @@ def test_options():
 def test_selectivity_band_needs_room(spark):
     with pytest.raises(ValueError):
         workload.with_selectivity(None, None, 100, 0.5, 0.05, 10)
+
+
+def test_neighbour_graph_ties_and_bad_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 10)
+    rows = [(i, 0, [1.0, 1.0]) for i in range(30)] + [(50, 0, [1.0, 2.0]), (51, 1, [1.0, 2.0]), (52, 0, None), (None, 0, [1.0, 1.0]), (53, None, [1.0, 1.0]), (54, 0, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, build_id int, vec array<float>").withColumn("dist", F.lit(1))
+    got = {}
+    for r in graph.knn_edges(df, 2, 3).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append(r.dst)
+    assert set(got) == {*range(30), 50} and got[0] == [1, 2, 3] and got[7] == [0, 1, 2] and got[50] == [0, 1, 2]
+    assert graph.shared_grams(graph.knn_edges(df, 2, 3).limit(0), df.withColumn("str", F.lit("x"))).count() == 0
+
+
+def test_null_ids_and_empty_codebooks(spark):
+    c = spark.createDataFrame([(None, "red", [1.0]), (1, "red", [2.0])], CORPUS)
+    q = spark.createDataFrame([(None, "red", [1.0]), (5, "red", [1.0])], QUERY)
+    assert ids(exact.groundtruth(c, q, 3)) == {5: [1]}
+    cent = spark.createDataFrame([(0, [0.0])], "cluster_id int, centroid array<double>")
+    assert [r.id for r in cluster.assign(c, cent).collect()] == [1]
+    none = pq.train(c.limit(0), 1, 1, 4)
+    assert pq.encode(c, none).count() == 0
+    assert cluster.kmeans(c.limit(0), 3).count() == 0 and cluster.assign(c, cluster.kmeans(c.limit(0), 3)).count() == 0
+
+
+def test_many_patterns_count_the_same(spark):
+    c, _ = random_corpus(spark)
+    few = {i: p for i, p in enumerate(["deep", "^red", "x9$", "(", "zz"])}
+    many = {i: few[i % 5] for i in range(60)}
+    want = {r.qid: r.matches for r in exact.match_counts(c, few).collect()}
+    got = {r.qid: r.matches for r in exact.match_counts(c, many).collect()}
+    assert got == {i: want[i % 5] for i in range(60) if i % 5 in want}
