@@ -123,7 +123,7 @@ def automata(items: DataFrame) -> list[Automaton]:
 
 def leaks(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
     """(doc_id, item_id, words, item_words): items of which a document holds `least` or more consecutive words, with
-    the longest such run. Null and blank texts give nothing. Equal documents each give their own rows."""
+    the longest such run. Null and blank texts and documents without an id give nothing. Equal documents each give their own rows."""
     spark = documents.sparkSession
     out = spark.createDataFrame([], "doc_id long, item_id long, words int, item_words int")
     for a in automata(items):
@@ -139,7 +139,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
                 ]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "item_words"])
 
-        found = documents.filter("text is not null").select("doc_id", "text").mapInPandas(run, out.schema)
+        found = documents.filter("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, out.schema)
         out = out.unionByName(found)
     return out
 
@@ -170,4 +170,4 @@ def cleaned(documents: DataFrame, items: DataFrame, least: int = 12, most_share:
                     rows.append((d, None if drop else "".join(keep) + text[at:], len(gone), drop))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "removed_words", "dropped"])
 
-    return documents.filter("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, text string, removed_words int, dropped boolean")
+    return documents.filter("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, text string, removed_words int, dropped boolean")

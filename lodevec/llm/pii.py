@@ -331,7 +331,7 @@ def candidates(documents: DataFrame, g: Gazetteer) -> DataFrame:
                     out.append((d, [{"start": s.start, "end": s.end, "kind": s.kind, "value": s.value, "votes": ",".join(map(str, s.votes)), "features": _index(s.features)} for s in got]))
             yield pd.DataFrame(out, columns=["doc_id", "spans"])
 
-    return documents.filter("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id long, spans {_SPANS}")
+    return documents.filter("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, f"doc_id long, spans {_SPANS}")
 
 
 def gazetteer(documents: DataFrame, known_names: DataFrame) -> Gazetteer:
@@ -355,8 +355,8 @@ def classifier(cands: DataFrame) -> np.ndarray:
 
 
 def found(documents: DataFrame, known_names: DataFrame) -> DataFrame:
-    """(doc_id, kind, value, start, end), a row a span; start and end count code points. Null and blank texts give
-    nothing; equal documents each give their own rows."""
+    """(doc_id, kind, value, start, end), a row a span; start and end count code points. Null and blank texts and
+    documents without an id give nothing; equal documents each give their own rows."""
     cands = written(candidates(documents, gazetteer(documents, known_names)), "pii")
     weights = documents.sparkSession.sparkContext.broadcast(classifier(cands))
 
@@ -371,7 +371,7 @@ def found(documents: DataFrame, known_names: DataFrame) -> DataFrame:
 def redacted(documents: DataFrame, known_names: DataFrame) -> DataFrame:
     """(doc_id, text, replaced): every found span replaced by its placeholder, all else as it was; null texts stay."""
     got = found(documents, known_names).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("s"))
-    rows = documents.select("doc_id", "text").join(got, "doc_id", "left")
+    rows = documents.filter("doc_id is not null").select("doc_id", "text").join(got, "doc_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
