@@ -42,7 +42,7 @@ def test_groundtruth(spark, corpus):
 
 def test_postfilter_cap(spark, corpus):
     q = ask(spark, "^deep")
-    assert ids(exact.postfilter(corpus, q, 2, max_expansion=1)) == {}
+    assert ids(exact.postfilter(corpus, q, 2, max_expansion=1)) == {0: [0]}
     assert ids(exact.postfilter(corpus, q, 2, max_expansion=2)) == {0: [0]}
     assert ids(exact.postfilter(corpus, q, 2)) == {0: [0, 3]}
     with pytest.raises(ValueError):
