@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from lodevec.functions import vector as V
 from lodevec.session import BROADCAST_LIMIT, written
 
-#: Axes kept, rows of a block, spots merged at once, widths tried, prior rows behind a covariance.
-AXES, BLOCK, MERGE_MOST = 48, 4096, 16_384
-WIDTHS = (0.6, 1.0, 1.6)
+#: Axes kept, rows of a block, spots merged at once and pairs of them listed, widths tried, prior rows behind a covariance.
+AXES, BLOCK, MERGE_MOST, LISTED_MOST = 48, 4096, 16_384, 20_000_000
+WIDTHS = (0.7, 1.0, 1.4)
 PRIOR_ROWS, LEAST_ROWS, EM_ROUNDS = 10.0, 3, 8
 
 
@@ -160,20 +160,40 @@ def _spot_batch(build: int, n: np.ndarray, radius: np.ndarray, mean: np.ndarray,
 
 
 def merged(n: np.ndarray, mean: np.ndarray, square: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spots merged greedily from the largest: one joins where its mean lies as near as a sample of its size would."""
-    left = np.argsort(-n, kind="stable")
-    out: list[tuple[float, np.ndarray, np.ndarray]] = []
-    while len(left):
-        m2 = mean[left]
-        reach = radius * (0.25 + 0.75 / n[left])
-        c = m2[0]
-        for _ in range(2):
-            join = np.square(m2 - c).sum(1) <= reach
-            join[0] = True
-            w = n[left[join]][:, None]
-            c = (w * m2[join]).sum(0) / w.sum()
-        out.append((float(w.sum()), c, (w * square[left[join]]).sum(0) / w.sum()))
-        left = left[~join]
+    """Spots merged greedily from the largest: one joins where its mean lies as near as a sample of its size would.
+    Each spot looks only at those so near that both could lie within reach of one mean, in directions of their own;
+    where these are too many to list, at all that are left."""
+    m2, reach = np.square(mean).sum(1), radius * (0.25 + 0.75 / n)
+    rows, cols, listed = [], [], 0
+    for i in range(0, len(n), 1024):
+        d = m2[i : i + 1024, None] + m2[None] - 2 * mean[i : i + 1024] @ mean.T
+        r, c = np.nonzero(d <= reach[i : i + 1024, None] + reach[None])
+        rows.append(r + i)
+        cols.append(c)
+        listed += len(r)
+        if listed > LISTED_MOST:
+            break
+    near = None
+    if listed <= LISTED_MOST and len(n):
+        start = np.searchsorted(np.concatenate(rows), np.arange(len(n) + 1))
+        near = np.concatenate(cols)
+    free, out = np.ones(len(n), "?"), []
+    for lead in np.argsort(-n, kind="stable"):
+        if not free[lead]:
+            continue
+        at = near[start[lead] : start[lead + 1]] if near is not None else np.arange(len(n))
+        at = at[free[at]]
+        at = np.append(at[at != lead], lead)
+        if len(at) > 1:
+            c, own = mean[lead], np.arange(len(at)) == len(at) - 1
+            for _ in range(2):
+                join = (np.square(mean[at] - c).sum(1) <= reach[at]) | own
+                w = n[at[join]][:, None]
+                c = (w * mean[at[join]]).sum(0) / w.sum()
+            at = at[join]
+        w = n[at][:, None]
+        out.append((float(w.sum()), (w * mean[at]).sum(0) / w.sum(), (w * square[at]).sum(0) / w.sum()))
+        free[at] = False
     return np.array([o[0] for o in out]), np.array([o[1] for o in out]), np.array([o[2] for o in out])
 
 
@@ -345,11 +365,12 @@ class Fit:
 
     def _fit(self) -> None:
         found = written(self._spots(), "spots")
-        skip = 0
+        skip, last = 0, math.inf
         while True:
             counts = {r.build_id: r["count"] for r in found.groupBy("build_id").count().collect()}
-            if max(counts.values()) <= MERGE_MOST or skip >= 12:
+            if max(counts.values()) <= MERGE_MOST or sum(counts.values()) > 0.9 * last:
                 break
+            last = sum(counts.values())
             cells = {b: max(0, math.ceil(math.log2(c / MERGE_MOST)) + 1) for b, c in counts.items()}
             found = written(self._merge(found, WIDTHS[0], cells, skip, skip), f"spots-{skip}")
             skip += 3
@@ -526,7 +547,8 @@ class Fit:
         means = self._means(None, least)
         # rows loaded several times make clumps that can pass for components; their mean lies in the group's range
         self.same = {b: one_mean(m, self.models[b].weight, least) for b, m in means.items()}
-        means = self._means(None, least)
+        if any((of != np.arange(len(of))).any() for of in self.same.values()):
+            means = self._means(None, least)
         means = self._means(means, least)
         label = self._labelled(means, least)
 
