@@ -35,8 +35,8 @@ BLOCK = 16_384
 #: Rows a build's rotation is learned on (about), and the build size up to which there is one bucket: an exact scan.
 SAMPLE, SMALL = 10_000, 2_000
 DAMP, ITQ_ROUNDS = 0.25, 30
-#: Pairs of rows that are about one task's work.
-TASK_PAIRS = 3e8
+#: Pairs of rows that are about one task's work, and what a row itself counts as, so that a task's rows are bound too.
+TASK_PAIRS, ROW_PAIRS = 3e8, 3000
 
 
 def substring_bits(n: int) -> int:
@@ -250,7 +250,8 @@ def _search(rows: DataFrame, dim: int, k: int, router: Router) -> DataFrame:
     blocks = np.maximum(1, -(-size // BLOCK))
     pairs = blocks * (blocks + 1) // 2
     first = np.cumsum(pairs) - pairs
-    cost = np.repeat((size / blocks) ** 2, pairs)
+    each = size / blocks
+    cost = np.repeat(each * (each + ROW_PAIRS), pairs)
     task_of, tasks = _spread(cost, spark.sparkContext.defaultParallelism)
     plan = spark.sparkContext.broadcast((blocks, first, task_of))
 
