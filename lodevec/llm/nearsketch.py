@@ -259,8 +259,14 @@ def classes(rows: DataFrame, value: F.Column) -> DataFrame:
     return h.join(twice, ["build_id", "h", "g"]).select("id", "rep")
 
 
-def _parts(df: DataFrame) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+#: Bytes of bucket records one task should hold.
+TASK_BYTES = 96 << 20
+
+
+def _parts(df: DataFrame, bands: int) -> int:
+    """Target partitions: as configured, more where a task would hold too many records (16 bytes and the signature)."""
+    bytes_ = df.count() * bands * (16 + PLANES // 8)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism, -(-bytes_ // TASK_BYTES))
 
 
 def _with_reps(copies: DataFrame) -> DataFrame:
@@ -284,7 +290,7 @@ def text_links(items: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFra
 
     reps = rows.join(copies.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text").mapInArrow(enough, "rep long")
     copies = copies.join(reps, "rep", "left_semi")
-    parts = _parts(items)
+    parts = _parts(items, TEXT_BANDS)
     close = _candidates(single.mapInArrow(_text_sketches(parts), _BLOB), parts, TEXT_FAR, "text-buckets")
     pairs = close.join(rows.select(F.col("id").alias("a"), F.col("build_id").alias("ba"), F.col("text").alias("ta")), "a")
     pairs = pairs.join(rows.select(F.col("id").alias("b"), F.col("build_id").alias("bb"), F.col("text").alias("tb")), "b").filter("ba = bb")
@@ -311,7 +317,7 @@ def vector_links(items: DataFrame, dim: int, least: float = 0.98) -> tuple[DataF
     rows = rows.select("id", "build_id", F.col("embedding").cast("array<float>").alias("embedding"))
     copies = written(classes(rows, F.col("embedding")), "vector-copies")
     single = rows.join(_with_reps(copies), "id", "left_anti")
-    parts = _parts(items)
+    parts = _parts(items, VEC_BANDS)
     close = written(_candidates(single.mapInArrow(_vector_sketches(parts, dim), _BLOB), parts, VEC_FAR, "vector-buckets"), "vector-pairs")
     ends = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
     few = rows.join(ends, "id", "left_semi")
