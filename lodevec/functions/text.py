@@ -29,11 +29,12 @@ def clean_text(c: Column) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """Overlapping trigrams of c in order, repeats kept; empty below three characters."""
-    n = F.length(c)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(c, i, F.lit(3)))).when(
-        n >= 0, F.array().cast("array<string>")
-    )
+    """Overlapping trigrams of c in order, repeats kept; empty below three characters. Meant for index-form texts.
+
+    A look-ahead that captures three characters matches at every position; one pass, where a substring by position
+    would count from the start of the text each time.
+    """
+    return F.regexp_extract_all(c, F.lit("(?s)(?=(...))"), F.lit(1))
 
 
 def extract_words(c: Column, min_len: int = 3) -> Column:
