@@ -1,13 +1,14 @@
 """Near-duplicate records by fast similarity sketching, banding and exact verification.
 
 A record is a set of tokens: the distinct trigrams of its text, or for a vector the cells it falls into under random
-hyperplanes taken three at a time. A sketch has t coordinates. In rounds 0 to t-1 every token is hashed to one
+hyperplanes taken two at a time. A sketch has t coordinates. In rounds 0 to t-1 every token is hashed to one
 coordinate and a value, in rounds t to 2t-1 every token is a candidate for one fixed coordinate, so all get filled; a
 coordinate keeps the value of the earliest round, in it the smallest. Two sketches agree in a coordinate with the
 probability of their Jaccard similarity, and the sketch is concentrated about it like sampling without replacement.
 
-Bands of four coordinates are hashed to buckets. Into a bucket a record brings its id and a signature of 256 bits (one
-bit of every text coordinate, or of every hyperplane); pairs of a bucket whose signatures are too far apart for the
+Bands of four (texts) or five coordinates (vectors) are hashed to buckets, so many that a pair at the threshold itself
+shares none with a probability under 0.1 %. Into a bucket a record brings its id and a signature of 256 bits (one bit
+of every text coordinate, or of every hyperplane); pairs of a bucket whose signatures are too far apart for the
 threshold are dropped there, and what is left is verified exactly on the texts or vectors.
 
 Exact copies are one class each beforehand and only its smallest id is sketched, so a text that fills a third of all
@@ -29,12 +30,13 @@ from lodevec.functions import text as T
 from lodevec.functions import vector as V
 from lodevec.session import written
 
-BAND = 4
-#: Bands, and the most differing signature bits of a pair that is looked at: texts from Jaccard 0.6, vectors from
-#: cosine 0.98. Expected differing bits there are 51 and 16, with a deviation of 6.4 and 3.9.
-TEXT_COORDS, TEXT_BANDS, TEXT_FAR = 256, 14, 67
-VEC_COORDS, VEC_BANDS, VEC_FAR = 40, 10, 28
-PLANES, PLANES_A_TOKEN, TOKENS = 256, 3, 64
+#: Coordinates, coordinates a band, bands, and the most differing signature bits of a pair that is looked at: texts from
+#: Jaccard 0.6, vectors from cosine 0.98. Expected differing bits there are 51 and 16, with a deviation of 6.4 and 3.9.
+TEXT_COORDS, TEXT_BAND, TEXT_BANDS, TEXT_FAR = 256, 4, 56, 75
+VEC_COORDS, VEC_BAND, VEC_BANDS, VEC_FAR = 160, 5, 32, 31
+PLANES, PLANES_A_TOKEN, TOKENS = 256, 2, 128
+#: Bytes of a record in a bucket: key in its partition, id, signature.
+RECORD = 4 + 8 + PLANES // 8
 MIN_GRAMS = 12
 RUN_MOST = 4096
 _GRAM_CODES = 27**3
@@ -94,12 +96,12 @@ def _planes(dim: int) -> np.ndarray:
     return np.random.default_rng(12).normal(size=(dim, PLANES)).astype("f4")
 
 
-def _keys(s: np.ndarray, bands: int, salt: np.ndarray) -> np.ndarray:
+def _keys(s: np.ndarray, band: int, bands: int, salt: np.ndarray) -> np.ndarray:
     """[n][bands] bucket keys."""
     out = np.empty((len(s), bands), "u8")
     for b in range(bands):
         h = _mix(salt + np.uint64(b + 1))
-        for c in range(b * BAND, (b + 1) * BAND):
+        for c in range(b * band, (b + 1) * band):
             h = _mix(h ^ s[:, c])
         out[:, b] = h
     return out
@@ -117,6 +119,7 @@ def _emit(keys: np.ndarray, ids: np.ndarray, sig: np.ndarray, parts: int) -> Ite
     key, at, part = key[order], at[order], part[order]
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(starts[1:], len(part))
+    key = (key >> np.uint64(32)).astype("u4")
     blobs = [key[a:b].tobytes() + ids[at[a:b]].tobytes() + sig[at[a:b]].tobytes() for a, b in zip(starts, ends)]
     yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array((ends - starts).astype("i4")), pa.array(blobs, pa.binary())], names=["part", "n", "blob"])
 
@@ -146,7 +149,7 @@ def _text_sketches(parts: int):
                 s = sketch(new[row[keep]], code[keep], len(good), _GRAM_CODES, TEXT_COORDS)
                 sig = np.packbits((_mix(s.ravel()) & np.uint64(1)).astype("u1").reshape(s.shape), axis=1)
                 salt = _mix(t.column("build_id").to_numpy()[good].astype("u8"))
-                yield from _emit(_keys(s, TEXT_BANDS, salt), t.column("id").to_numpy()[good], sig, parts)
+                yield from _emit(_keys(s, TEXT_BAND, TEXT_BANDS, salt), t.column("id").to_numpy()[good], sig, parts)
 
     return run
 
@@ -162,7 +165,7 @@ def _vector_sketches(parts: int, dim: int):
                 token = (np.arange(TOKENS) * (1 << PLANES_A_TOKEN) + cells).ravel()
                 s = sketch(np.repeat(np.arange(len(at)), TOKENS), token, len(at), TOKENS << PLANES_A_TOKEN, VEC_COORDS)
                 salt = _mix(t.column("build_id").to_numpy()[at].astype("u8") + np.uint64(1 << 40))
-                yield from _emit(_keys(s, VEC_BANDS, salt), t.column("id").to_numpy()[at], np.packbits(bits, axis=1), parts)
+                yield from _emit(_keys(s, VEC_BAND, VEC_BANDS, salt), t.column("id").to_numpy()[at], np.packbits(bits, axis=1), parts)
 
     return run
 
@@ -180,21 +183,31 @@ def _close(sig: np.ndarray, i: np.ndarray, j: np.ndarray, far: int) -> np.ndarra
     return out
 
 
-def _pairs(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+#: Pairs of one partition held to drop those found in several of its buckets.
+PAIRS_HELD = 1 << 20
+
+
+def _pairs(ids: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The pairs (i, j) of places in ids, each once."""
+    i, j = (np.concatenate(c) for c in zip(*found))
     a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    a, b = a[new], b[new]
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], names=["a", "b", "block"])
 
 
 def _buckets(far: int):
     """mapInArrow function over the blobs of whole target partitions: close pairs of each bucket. A bucket with more
-    than RUN_MOST rows comes out as blocks: a is its key, b the number of the block."""
+    than RUN_MOST rows comes out as blocks: a is its partition and key, b the number of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for part, n, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "blob"))):
-                sig = np.frombuffer(blob, "u1", offset=16 * n).reshape(n, -1)
-                held.setdefault(part, []).append((np.frombuffer(blob, "u8", n), np.frombuffer(blob, "i8", n, 8 * n), sig))
+                sig = np.frombuffer(blob, "u1", offset=12 * n).reshape(n, -1)
+                held.setdefault(part, []).append((np.frombuffer(blob, "u4", n), np.frombuffer(blob, "i8", n, 4 * n), sig))
         for part in sorted(held):
             key, ids, sig = (np.concatenate(c) for c in zip(*held.pop(part)))
             order = np.argsort(key)
@@ -204,16 +217,22 @@ def _buckets(far: int):
             for s, n in zip(starts[size > RUN_MOST], size[size > RUN_MOST]):
                 for k, i in enumerate(range(s, s + n, RUN_MOST)):
                     e = min(i + RUN_MOST, s + n)
-                    yield pa.RecordBatch.from_arrays([pa.array([key[s].astype("i8")]), pa.array([k]), pa.array([ids[i:e].tobytes() + sig[i:e].tobytes()], pa.binary())], names=["a", "b", "block"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part << 32 | int(key[s])]), pa.array([k]), pa.array([ids[i:e].tobytes() + sig[i:e].tobytes()], pa.binary())], names=["a", "b", "block"])
             rest = np.repeat((size > 1) & (size <= RUN_MOST), size)
             to_end = np.repeat(starts + size, size) - np.arange(len(key))
             at = np.flatnonzero(rest)
-            step = 1
+            step, found, n = 1, [], 0
             while len(at := at[to_end[at] > step]):
                 good = _close(sig, at, at + step, far)
                 if good.any():
-                    yield _pairs(ids, at[good], at[good] + step)
+                    found.append((at[good], at[good] + step))
+                    n += len(found[-1][0])
+                if n > PAIRS_HELD:
+                    yield _pairs(ids, found)
+                    found, n = [], 0
                 step += 1
+            if found:
+                yield _pairs(ids, found)
 
     return run
 
@@ -235,14 +254,28 @@ def _block_pairs(far: int):
                     i_all = np.full(len(j), i)
                     good = _close(sig, i_all, j, far)
                     if good.any():
-                        yield _pairs(ids, i_all[good], j[good])
+                        yield _pairs(ids, [(i_all[good], j[good])])
 
     return run
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written_freed(df: DataFrame, name: str) -> DataFrame:
+    """written(), with the shuffle files removed as soon as the table stands: bucket records are the most of the disk."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def _candidates(blobs: DataFrame, parts: int, far: int, name: str) -> DataFrame:
     """(a, b) distinct, a < b, of equal build: pairs that share a bucket and have close signatures."""
-    found = written(blobs.repartitionById(parts, "part").mapInArrow(_buckets(far), _PAIR), name)
+    found = _written_freed(blobs.repartitionById(parts, "part").mapInArrow(_buckets(far), _PAIR), name)
     small = found.filter("block is null").select("a", "b")
     hot = found.filter("block is not null")
     x = hot.select(F.col("a").alias("key"), F.col("b").alias("i"), F.col("block").alias("x"))
@@ -264,8 +297,8 @@ TASK_BYTES = 96 << 20
 
 
 def _parts(df: DataFrame, bands: int) -> int:
-    """Target partitions: as configured, more where a task would hold too many records (16 bytes and the signature)."""
-    bytes_ = df.count() * bands * (16 + PLANES // 8)
+    """Target partitions: as configured, more where a task would hold too many records."""
+    bytes_ = df.count() * bands * RECORD
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism, -(-bytes_ // TASK_BYTES))
 
 

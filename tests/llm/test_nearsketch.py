@@ -100,3 +100,25 @@ def test_gram_codes():
     row, code = S.gram_codes(pa.array(["abab", "", "ab", "a b", "zzzz"]))
     assert row.tolist() == [0, 0, 3, 4]
     assert len(set(code.tolist())) == 4
+
+
+def test_pairs_at_the_thresholds_are_found(spark):
+    rng, rows, want = random.Random(4), [], set()
+    while len(want) < 1500:
+        head, a, b = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k)) for k in (44, 14, 14))
+        x, y = grams(head + a), grams(head + b)
+        if len(x & y) * 5 == len(x | y) * 3:
+            i = len(rows)
+            rows += [(i, 1, head + a, None), (i + 1, 1, head + b, None)]
+            want.add((i, i + 1))
+    r = np.random.default_rng(4)
+    for _ in range(1500):
+        u, v = r.normal(size=(2, 16))
+        u /= np.linalg.norm(u)
+        v -= (u @ v) * u
+        i, c = len(rows), 0.98001
+        rows += [(i, 1, None, u.tolist()), (i + 1, 1, None, (c * u + np.sqrt(1 - c * c) * v / np.linalg.norm(v)).tolist())]
+        want.add((i, i + 1))
+    got = {tuple(p) for p in S.near_pairs(spark.createDataFrame(rows, SCHEMA), 16).collect()}
+    lost = sorted(want - got)
+    assert sum(a < 3000 for a, _ in lost) <= 5 and sum(a >= 3000 for a, _ in lost) <= 5, len(lost)
