@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from lodevec.functions import vector as V
 from lodevec.operators import cluster, exact, gramindex, pq
 from lodevec.plans import regexplan
+from lodevec.session import written
 
 
 def patterns_of(queries: DataFrame) -> dict[int, str]:
@@ -123,10 +124,22 @@ def graph(corpus: DataFrame, queries: DataFrame, node_grams: DataFrame, k: int =
     return _verified(gramindex.candidates(plan, node_grams, "id", corpus.select("id")), corpus, queries, k)
 
 
-def graph_beam(corpus: DataFrame, queries: DataFrame, edges: DataFrame, entries: DataFrame, k: int = 10, ef: int = 64, rounds: int = 6) -> DataFrame:
+#: Up to so many candidates of a query are scanned exactly; of more, so many are entries of its beam.
+EXACT_MOST, ENTRIES = 500, 8
+
+
+def graph_beam(corpus: DataFrame, queries: DataFrame, edges: DataFrame, entries: DataFrame, k: int = 10, ef: int = 64, rounds: int = 6, node_grams: DataFrame | None = None) -> DataFrame:
     """Beam search over a neighbour graph, all queries at once: each round joins the beams with their out-edges and
-    keeps the ef nearest visited rows of a query; the last beam is verified. edges: (src, dst); entries: (id).
-    A beam holds ef rows, so state is queries times ef. Approximate: a query can end with fewer than k rows."""
+    keeps the ef nearest visited rows of a query; the last beam is verified. edges: (src, dst); entries: (id);
+    node_grams: (gram, id), made from the corpus where not given.
+
+    Only rows that the trigram plan allows are visited. A query with at most EXACT_MOST of them, or whose beam gives
+    fewer than k matches, gets all its candidates scanned exactly, so none ends short of matches that exist."""
+    plan = regexplan.dnf_frame(corpus.sparkSession, patterns_of(queries))
+    node_grams = gramindex.gram_index(corpus, "id") if node_grams is None else node_grams
+    allowed = written(gramindex.candidates(plan, node_grams, "id", corpus.select("id")), "beam-candidates")
+    large = written(allowed.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") > EXACT_MOST).select("qid"), "beam-large")
+    may = allowed.join(F.broadcast(large), "qid", "left_semi")
     q = queries.select("qid", "qvec")
     nodes = corpus.select("id", "vec")
 
@@ -134,11 +147,15 @@ def graph_beam(corpus: DataFrame, queries: DataFrame, edges: DataFrame, entries:
         d = pairs.distinct().join(nodes, "id").join(F.broadcast(q), "qid").filter(V.usable(F.col("vec"), F.size("qvec")))
         return exact.ranked(d.select("qid", "id", V.l2(F.col("vec"), F.col("qvec")).alias("dist")), ef).select("qid", "id")
 
-    beam = near(q.select("qid").join(F.broadcast(entries.select("id"))))
+    first = exact.ranked(may.select("qid", "id", F.xxhash64("qid", "id").cast("double").alias("dist")), ENTRIES).select("qid", "id")
+    beam = near(first.unionByName(may.join(F.broadcast(entries.select("id").distinct()), "id", "left_semi").select("qid", "id")))
     for _ in range(rounds):
         step = beam.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("qid", F.col("dst").alias("id"))
-        beam = near(beam.unionByName(step))
-    return _verified(beam, corpus, queries, k)
+        beam = near(beam.unionByName(step.distinct().join(may, ["qid", "id"], "left_semi")))
+    found = written(_verified(beam, corpus, queries, k), "beam-found")
+    enough = found.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("qid")
+    rest = allowed.join(F.broadcast(enough), "qid", "left_anti").select("qid", "id")
+    return found.join(F.broadcast(enough), "qid", "left_semi").select("qid", "rank", "id", "dist").unionByName(_verified(rest, corpus, queries, k))
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {

@@ -442,7 +442,7 @@ def graph_exact_search(spark: SparkSession, d: str) -> DataFrame:
 def graph_beam(spark: SparkSession, d: str) -> DataFrame:
     rows = parts(spark, d)
     edges = written(graph.symmetric(graph.knn_edges(rows.withColumn("build_id", F.lit(0)), DIM, 16), 32), "edges")
-    return rounded(search.graph_beam(rows, part_queries(spark, d), edges, workload.sample(rows, 8), K, 64, 3))
+    return rounded(search.graph_beam(rows, part_queries(spark, d), edges, workload.sample(rows, 8), K, 64, 3, node_grams(spark, d)))
 
 
 # --- evaluation and workload -------------------------------------------------------------------------------------

@@ -106,6 +106,16 @@ def test_index_strategies_equal_groundtruth(spark):
     assert evaluate.summary(evaluate.recall(q, exact.groundtruth(c, q, 10), beam)).first().mean_recall > 0.9
 
 
+def test_beam_gives_rare_matches(spark):
+    rng = random.Random(6)
+    rows = [(i, "common text" + (" zebra" if i % 60 == 59 else " 7" if i % 60 == 29 else ""), [rng.gauss(0, 1), rng.gauss(0, 1)]) for i in range(720)]
+    c = spark.createDataFrame(rows, CORPUS)
+    q = spark.createDataFrame([(0, "zebra", [3.0, 3.0]), (1, "common.* 7", [3.0, 3.0]), (2, "nowhere", [0.0, 0.0])], QUERY)
+    edges = graph.symmetric(graph.knn_edges(c.withColumn("build_id", F.lit(0)), 2, 8), 16)
+    got = ids(search.graph_beam(c, q, edges, workload.sample(c, 4), 10, 16, 2))
+    assert got == ids(exact.groundtruth(c, q, 10)) and len(got[0]) == len(got[1]) == 10
+
+
 def test_candidates_hold_every_match(spark):
     c, q = random_corpus(spark)
     plan = regexplan.dnf_frame(spark, search.patterns_of(q))
