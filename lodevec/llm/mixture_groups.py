@@ -116,9 +116,17 @@ def _cell(z: np.ndarray, bits: int, skip: int = 0) -> np.ndarray:
     return (z[:, skip : skip + bits] > 0) @ (1 << np.arange(bits)) if bits > 0 else np.zeros(len(z), "i8")
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the first of equal rows, ascending; for each row the number of its first in these)."""
+    x = np.ascontiguousarray(x)
+    _, first, of = np.unique(x.view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
+    rank = np.argsort(np.argsort(first))
+    return np.sort(first), rank[of]
+
+
 def spots(z: np.ndarray) -> tuple[np.ndarray, float]:
     """(label of each row, squared radius): dense spots of a block, found greedily from the row with most neighbours.
-    The radius follows from the distances of near neighbours."""
+    The radius follows from the distances of near neighbours, so rows must be distinct: among copies it would be 0."""
     n = len(z)
     z2 = np.einsum("ij,ij->i", z, z)
     d = np.maximum(z2[:, None] + z2[None] - 2 * (z @ z.T), 0)
@@ -148,14 +156,15 @@ def spots(z: np.ndarray) -> tuple[np.ndarray, float]:
     return label, radius
 
 
-_SPOT = "build_id long, n long, radius double, mean binary, square binary"
+#: own: distinct rows behind a spot; copies say nothing of the radius.
+_SPOT = "build_id long, n long, own double, radius double, mean binary, square binary"
 
 
-def _spot_batch(build: int, n: np.ndarray, radius: np.ndarray, mean: np.ndarray, square: np.ndarray) -> pa.RecordBatch:
+def _spot_batch(build: int, n: np.ndarray, own: np.ndarray, radius: np.ndarray, mean: np.ndarray, square: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(n), build)), pa.array(n.astype("i8")), pa.array(radius.astype("f8")),
+        [pa.array(np.full(len(n), build)), pa.array(n.astype("i8")), pa.array(own.astype("f8")), pa.array(radius.astype("f8")),
          pa.array([m.tobytes() for m in mean.astype("<f4")], pa.binary()), pa.array([m.tobytes() for m in square.astype("<f4")], pa.binary())],
-        names=["build_id", "n", "radius", "mean", "square"],
+        names=["build_id", "n", "own", "radius", "mean", "square"],
     )
 
 
@@ -313,10 +322,13 @@ class Fit:
                 x = np.frombuffer(b"".join(t.column("raw").to_pylist()), "<f4").reshape(-1, dim)
                 for i in range(0, len(x), 2 * BLOCK):
                     z = spaces[build](x[i : i + 2 * BLOCK])
-                    label, radius = spots(z)
+                    first, of = distinct(x[i : i + 2 * BLOCK])
+                    label, radius = spots(z[first])
+                    own = np.bincount(label)
+                    label = label[of]
                     names, n, s = _sum_rows(label, np.ones(len(z)), z)
                     _, _, q = _sum_rows(label, np.ones(len(z)), z * z)
-                    yield _spot_batch(build, n, np.full(len(n), radius), s / n[:, None], q / n[:, None])
+                    yield _spot_batch(build, n, own[names], np.full(len(n), radius), s / n[:, None], q / n[:, None])
 
             for b in batches:
                 block = b.column("block").to_numpy()
@@ -341,11 +353,11 @@ class Fit:
                 t = pa.Table.from_batches([t]) if isinstance(t, pa.RecordBatch) else t
                 n = t.column("n").to_numpy().astype("f8")
                 mean, square = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<f4").reshape(len(n), -1).astype("f8") for c in ("mean", "square"))
-                radius = t.column("radius").to_numpy()
+                radius, own = t.column("radius").to_numpy(), t.column("own").to_numpy()
                 order = np.argsort(radius)
-                mid = radius[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]
+                mid = radius[order][np.searchsorted(np.cumsum(own[order]), own.sum() / 2)]
                 cn, cm, cs = merged(n, mean, square, width * mid)
-                yield _spot_batch(t.column("build_id")[0].as_py(), cn, np.full(len(cn), mid), cm, cs)
+                yield _spot_batch(t.column("build_id")[0].as_py(), cn, np.full(len(cn), own.sum() / len(cn)), np.full(len(cn), mid), cm, cs)
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lodevec.llm import mixture_groups as M
 
@@ -77,3 +78,13 @@ def test_clumps_of_reloaded_rows_stay_in_their_group(spark):
 def test_one_mean():
     m = np.array([[1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [0.0, 0.0]])
     assert M.one_mean(m, np.array([1.0, 2.0, 1.0, 1.0]), 0.7).tolist() == [1, 1, 2, 3]
+
+
+@pytest.mark.parametrize("block, least", [(4096, 5), (300, 8)])
+def test_a_third_copies_beside_small_groups(spark, monkeypatch, block, least):
+    monkeypatch.setattr(M, "BLOCK", block)
+    rows, groups = planted([100, 80, 60, 40, 25, 12, 8, 5, 300, 200], loose=100, seed=3)
+    v = np.random.default_rng(30).normal(size=64)
+    copies = [(5000 + i, 1, (v / np.linalg.norm(v)).tolist()) for i in range(500)]
+    got = M.groups(spark.createDataFrame(rows + copies, SCHEMA), 64)
+    assert [g for g in found(got) if len(g) >= least] == sorted(g for g in [*groups, [r[0] for r in copies]] if len(g) >= least)
