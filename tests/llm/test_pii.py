@@ -6,49 +6,103 @@ from lodevec.llm import pii
 
 DOCS = "doc_id long, text string, kind string"
 NAMES = "name string, kind string"
+GIVEN, FAMILY = ["Maralle", "Jesith", "Dorin", "Quinath", "Velora", "Tory"], ["Ostberg", "Wexkin", "Prydow", "Lundmark", "Haraley"]
 
+#: Sentences written for this test; the second set shares no sentence with the first.
+FRAMES = {
+    "name": [
+        ["{} keeps bees behind the mill.", "The choir was led by {} that year.", "Author: {}", "Am Abend kam {} zu spät zur Probe.", "Le piano est à {} depuis hier."],
+        ["A vote of thanks went to {} at noon.", "Nobody but {} had a key to the cellar.", "Gestern hat {} den Zaun gestrichen.", "Name: {}", "Para {} era la primera vez."],
+    ],
+    "email": [
+        ["Anything urgent goes to {} overnight.", "E-mail: {}", "Fotos bitte an {} schicken.", "The form lists {} as a second choice."],
+        ["You may send the keys to {} by Monday.", "Manda las fotos a {} mañana.", "Inbox {} is full again.", "Ask at {} for a ticket."],
+    ],
+    "phone": [
+        ["Phone: {}", "The porter can be reached on {} until nine.", "Rückruf bitte unter {} bis Freitag.", "Since spring the shop answers under {} only.", "We tried {} twice last night."],
+        ["She picked up at {} after the third attempt.", "Apunta el {} por si te pierdes.", "Our new line, {}, opens in May.", "Le gardien répond au {} le matin.", "Cell {} works best."],
+    ],
+    "ident": [
+        ["Passport number: {}", "The clerk copied {} from the papers twice.", "Social security: {}", "Le dossier porte la mention {} en haut.", "Her licence, {}, had run out."],
+        ["In der Akte steht {} neben dem Stempel.", "The officer wrote {} into the register.", "En la ficha figura {} junto a la foto.", "Ausweis {} liegt bei.", "They asked him to repeat {} slowly."],
+    ],
+    "address": [
+        ["The van stops at {} every Tuesday.", "Address: {}", "Das Paket ging an {} zurück.", "Nos vemos en {} esta noche."],
+        ["Our aunt moved to {} in the summer.", "A lamp was broken near {} yesterday.", "Elle a grandi au {} avec ses soeurs.", "Lieferung nach {} am Montag."],
+    ],
+}
+DECOYS = [
+    "Mount Ostberg rises behind the lake.", "The Wexkin theorem fills a whole chapter.", "Article 485-3427-80 is sold in pairs.", "Invoice 0309702926 was paid in March.", "Batch 20231025-9140 left the plant.",
+    "We met on 2023-10-25 in the garden.", "Page 6526337 of the archive is missing.", "Model A816644 comes in blue.", "Release 10.83.44.69 fixed the lamp.", "A New Garden Shed Plan", "the words of a quiet search list keep every mill near",
+    "Ein Korb mit Äpfeln stand am Zaun.", "Die Rechnung 4287914617 liegt bei.", "Row 9689886 was read twice.", "the bees and the choir and the cellar key", "a vote at the mill in summer",
+]
 
-def corpus(seed=1, n=250):
-    """Texts from frames with planted values, and decoys; ((doc_id, kind, value) truth)."""
-    rng = random.Random(seed)
-    given, family = ["Maralle", "Jesith", "Dorin", "Quinath", "Velora", "Tory"], ["Ostberg", "Wexkin", "Prydow", "Lundmark", "Haraley"]
-    docs, truth = [], set()
+
+def value(kind, rng):
+    g, f = rng.choice(GIVEN), rng.choice(FAMILY)
+    local = f"{g}.{f}".lower()
+    return {
+        "name": lambda: rng.choice([f"{g} {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{g} R. {f}", f"{g} van {f}", f"{g}-{rng.choice(GIVEN)} {f}"]),
+        "email": lambda: rng.choice([f"{local}@mail.example", f"{local} [at] site [dot] test", f"{local} AT site DOT test"]),
+        "phone": lambda: rng.choice(["+44 7700 900{:03d}", "(201) 555 0{:03d}", "201-555-0{:03d}", "+12015550{:03d}", "07700 900 {:03d}", "+49 30 23125 {:03d}"]).format(rng.randint(100, 199)),
+        "ident": lambda: rng.choice(["9{:02d}-12-3456", "00-123-4{:02d}-99", "ZZ12345{:02d}", "QQ 12 34 {:02d} C", "XX{:02d}-K12345"]).format(rng.randint(10, 99)),
+        "address": lambda: rng.choice(["12 Moli Street, Elda 12345", "Flat 3B, 7 Heso Lane, Coro", "Tarostraße 70, 64010 Core", "23 bis, rue de Sede, 61285 Core", "Calle Moli, 17, 2.º B, 65261 Fara", "9 Gani Road\nTarra 53246", "416 Brae Ln, Apt 13, Tarre, 03429"]),
+    }[kind]()
+
+
+def corpus(part, seed=1, n=250):
+    """Texts with planted values and decoys, from one set of the frames; ((doc_id, kind, value) truth)."""
+    rng, docs, truth = random.Random(seed), [], set()
     for d in range(n):
-        g, f = rng.choice(given), rng.choice(family)
-        name = rng.choice([f"{g} {f}", f"{f}, {g}", f"{g[0]}. {f}", f"{g} R. {f}", f"{g.upper()} {f.upper()}", f"{g} van {f}", f"{g}-{rng.choice(given)} {f}"])
-        local = f"{g}.{f}".lower()
-        mail = rng.choice([f"{local}@mail.example", f"{local} [at] site [dot] test", f"{local} AT site DOT test"])
-        phone = rng.choice(["+44 7700 900{:03d}", "(201) 555 0{:03d}", "201-555-0{:03d}", "+12015550{:03d}", "07700 900 {:03d}"]).format(rng.randint(100, 199))
-        ident = rng.choice(["9{:02d}-12-3456", "00-123-4{:02d}-99", "ZZ12345{:02d}", "QQ 12 34 {:02d} C", "XX{:02d}-K12345"]).format(rng.randint(10, 99))
-        addr = rng.choice(["12 Moli Street, Elda 12345", "Flat 3B, 7 Heso Lane, Coro", "Tarostraße 70, 64010 Core", "23 bis, rue de Sede, 61285 Core", "Calle Moli, 17, 2.º B, 65261 Fara", "9 Gani Road\nTarra 53246", "416 Brae Ln, Apt 13, Tarre, 03429"])
-        lines = [
-            (f"Prof. {name} read this draft twice.", [("name", name)]), (f"Please contact {name} at {mail} for the raw vectors.", [("name", name), ("email", mail)]),
-            (f"Call me on {phone} before the next build.", [("phone", phone)]), (f"mobile {phone} ext. 44, ask for {name}", [("phone", phone), ("name", name)]),
-            (f"The row was keyed with the tax ID {ident} of {name} by mistake.", [("ident", ident), ("name", name)]), (f"I live at {addr}, just behind the mill.", [("address", addr)]),
-            (f"Frau {name} wohnt jetzt {addr}.", [("name", name), ("address", addr)]), (f"passport: {ident}", [("ident", ident)]), (f"Reply to <mailto:{mail}>, cc {name}.", [("email", mail), ("name", name)]),
-        ]
-        decoys = ["Mount Ostberg shows up in many captions.", "The Wexkin transform needs no tuning here.", "Part no. 485-3427-80 is out of stock.", "Order 0309702926 had 8 boxes.", "32 lane road scenes make up the set.", "Mention @tory98 in the thread.", "See run 20231025-9140 for the numbers.", "Each vector was drawn from the list, then sorted.", "Window 10.83.44.69 to 809-9231 was skipped.", "the words of a quiet search list keep every vector near"]
-        picked = rng.sample(lines, 3)
-        docs.append((d, " ".join(x for pair in zip(rng.sample(decoys, 3), [p[0] for p in picked]) for x in pair) + " " + rng.choice(decoys), "clash"))
-        truth |= {(d, k, v) for p in picked for k, v in p[1]}
-    return docs, truth, [(x, "given") for x in given[:4]] + [(x, "family") for x in family[:3]] + [(None, None)]
+        lines = []
+        for kind in rng.sample(pii.KINDS, 3):
+            v = value(kind, rng)
+            lines.append(rng.choice(FRAMES[kind][part]).format(v))
+            truth.add((d, kind, v))
+        lines += rng.sample(DECOYS, 4)
+        rng.shuffle(lines)
+        docs.append((d, "\n".join(lines), "clash"))
+    return docs, truth
+
+
+KNOWN = [(x, "given") for x in GIVEN[:4]] + [(x, "family") for x in FAMILY[:3]] + [(None, None)]
 
 
 @pytest.fixture(scope="module")
 def found(spark):
-    docs, truth, names = corpus()
-    docs += [(9001, None, ""), (9002, "", ""), (9003, "  \n", ""), (9004, "word " * 30_000 + "Call me on +44 7700 900123 before the next build.", "")]
+    docs, truth = corpus(0)
+    docs += [(9001, None, ""), (9002, "", ""), (9003, "  \n", ""), (9004, "word " * 30_000 + "Phone: +44 7700 900123", "")]
     truth = truth | {(9004, "phone", "+44 7700 900123")}
-    d, n = spark.createDataFrame(docs, DOCS), spark.createDataFrame(names, NAMES)
+    d, n = spark.createDataFrame(docs, DOCS), spark.createDataFrame(KNOWN, NAMES)
     return docs, truth, d, n, {(r.doc_id, r.kind, r.value) for r in pii.found(d, n).collect()}
 
 
-def test_planted_values_are_found(found):
-    _, truth, _, _, got = found
+def check(truth, got, least):
     for kind in pii.KINDS:
         want, have = {x for x in truth if x[1] == kind}, {x for x in got if x[1] == kind}
-        assert len(want & have) >= 0.97 * len(want), (kind, sorted(want - have)[:5])
-        assert len(want & have) >= 0.97 * len(have), (kind, sorted(have - want)[:5])
+        assert len(want & have) >= least * len(want), (kind, len(want & have), len(want), sorted(want - have)[:5])
+        assert len(want & have) >= least * len(have), (kind, len(want & have), len(have), sorted(have - want)[:5])
+
+
+def test_planted_values_are_found(found):
+    check(found[1], found[4], 0.95)
+
+
+def test_sentences_never_seen(found):
+    """Fitted on one set of frames, applied to another: values of each kind are found in sentences of a new kind."""
+    docs, truth = corpus(1, seed=2)
+    g = pii.gazetteer(found[2], found[3])
+    patterns = {}
+    for _, t, _ in found[0]:
+        for s in pii.spans(t, g) if t else ():
+            patterns[s.kind, s.votes, s.form] = patterns.get((s.kind, s.votes, s.form), 0) + 1
+    w = pii.fitted(patterns)
+    got = set()
+    for d, t, _ in docs:
+        cands = [s.__dict__ for s in pii.spans(t, g)]
+        say = {p: w[pii.features(*p)].sum() for p in ((c["kind"], c["votes"], c["form"]) for c in cands)}
+        got |= {(d, s["kind"], s["value"]) for s in pii.decided(cands, say)}
+    check(truth, got, 0.9)
 
 
 def test_redaction_leaves_the_rest(found):
@@ -72,12 +126,12 @@ def test_redaction_leaves_the_rest(found):
 def test_no_documents_and_no_names(spark):
     none, names = spark.createDataFrame([], DOCS), spark.createDataFrame([], NAMES)
     assert pii.found(none, names).count() == 0
-    d = spark.createDataFrame([(i, "Call me on +44 7700 900123 before the next build. Order 0309702926 had 8 boxes.", "") for i in range(20)], DOCS)
+    d = spark.createDataFrame([(i, "The shop answers under +44 7700 900123. Invoice 0309702926 was paid.", "") for i in range(20)], DOCS)
     assert {(r.kind, r.value) for r in pii.found(d, names).collect()} == {("phone", "+44 7700 900123")}
 
 
 def test_label_model_learns_reliability():
-    """Two labelers that mostly agree outweigh one that votes at random."""
+    """Three labelers that mostly agree outweigh one that votes at random; abstaining counts for nothing."""
     rng = random.Random(3)
     counts = {}
     for _ in range(5000):
@@ -88,3 +142,12 @@ def test_label_model_learns_reliability():
     m = pii.LabelModel.fit(counts)
     assert abs(m.prior["name"] - 0.4) < 0.05
     assert m.probability("name", (1, 1, 1, -1, 0, 0, 0)) > 0.95 and m.probability("name", (-1, -1, -1, 1, 0, 0, 0)) < 0.05
+    assert m.probability("name", (0, 0, 0, 0, 0, 0, 0)) == pytest.approx(m.prior["name"])
+    assert m.probability("email", (1, 1, 1, 1, 1)) == 0
+
+
+def test_words_are_counted_as_written(spark):
+    d = spark.createDataFrame([(1, "The bee saw Maralle; maralle@x.example", ""), (2, "the Bee saw MARALLE", ""), (3, None, "")], DOCS)
+    g = pii.gazetteer(d, spark.createDataFrame(KNOWN, NAMES))
+    for a, small, capital in (("bee", 4, 4), ("maralle", 0, 4)):
+        assert all((g.small[i], g.capital[i]) == (small, capital) for i in pii.slots(a))
