@@ -91,7 +91,7 @@ _FUNCTION = {
 #: What is named after persons or carries two capitals: places before the name, other nouns behind it.
 _THING_BEFORE = regex.compile(r"(?:^|\W)(?:the|mount|mt\.?|lake|saint|st\.?|port|fort|cape|river|isle|castle|university of|der|die|das|dem|den|des|le|la|les|el|los|las|mont|lac|monte|lago|río)\W$", regex.I)
 _THING_AFTER = regex.compile(
-    r"(?:['’]s)?[-\s](?:transform|bound|theorem|lemma|conjecture|inequality|equation|index|algorithm|method|test|law|effect|distance|metric|model|number|constant|process|filter|kernel|space|"
+    r"(?:['’]s)?[- \xa0](?:transform|bound|theorem|lemma|conjecture|inequality|equation|index|algorithm|method|test|law|effect|distance|metric|model|number|constant|process|filter|kernel|space|"
     r"group|field|prize|award|medal|cup|street|road|avenue|lane|court|terrace|drive|bridge|square|park|airport|station|university|college|school|institute|library|museum|hospital|foundation|"
     r"society|company|inc|ltd|gmbh|castle|church|river|lake|bay|island|valley|disease|syndrome|ave|rd|ln)\b", regex.I)
 #: Label words of everyday language; the nearest one before a value says what it is.
@@ -366,7 +366,7 @@ class LabelModel:
                 t = np.ones((votes.shape[1], 3, 2))
                 for j in range(votes.shape[1]):
                     cast = votes[:, j] != 0
-                    agree = 0.02 * n[cast].sum() + 1
+                    agree = 0.1 * n[cast].sum() + 2
                     for vote in (-1, 1):
                         on = votes[:, j] == vote
                         t[j, vote + 1, 1] = (n * y)[on].sum() + (agree if vote == 1 else 0.1 * agree)
@@ -431,11 +431,19 @@ def odds(patterns: dict[Pattern, int]) -> dict[Pattern, float]:
     return {p: float(w[features(*p)].sum()) for p in patterns}
 
 
+def _rank(c: dict) -> int:
+    """Of names that overlap: plain ones first, but one with a comma before a pair whose letters are not name-like."""
+    if c["kind"] != "name":
+        return 0
+    form, (_, known, letters, *_) = c["form"][0], c["votes"]
+    return (1 if letters > 0 else 3) if form == "c" else 2 if form == "p" and letters < 1 and not known else 0
+
+
 def decided(cands: list, say: dict[Pattern, float]) -> list:
     """Candidates with positive odds, none overlapping, in order. Each has start, end, kind, votes, form."""
     scored = [(c, x) for c in cands if (x := say[c["kind"], tuple(c["votes"]), c["form"]]) > 0]
-    # names last, as they can lie in addresses and mail, of them those of name-like letters first, then those without a comma; of addresses and names the longer first
-    scored.sort(key=lambda x: (x[0]["kind"] == "name", x[0]["kind"] == "name" and x[0]["votes"][2] < 1, x[0]["form"][0] == "c", x[0]["start"] - x[0]["end"] if x[0]["kind"] in ("address", "name") else 0, -x[1], x[0]["start"]))
+    # names last, as they can lie in addresses and mail; of addresses and names the longer first
+    scored.sort(key=lambda x: (x[0]["kind"] == "name", _rank(x[0]), x[0]["start"] - x[0]["end"] if x[0]["kind"] in ("address", "name") else 0, -x[1], x[0]["start"]))
     taken: list = []
     for c, _ in scored:
         if all(c["end"] <= t["start"] or c["start"] >= t["end"] for t in taken):
