@@ -420,7 +420,7 @@ def text_links(items: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFra
     rows = items.filter("text is not null and build_id is not null and id is not null").select("id", "build_id", T.preprocess(F.col("text")).alias("text"))
     rows = rows.filter(F.length("text") >= MIN_GRAMS + 2)
     copies = written(classes(rows, F.col("text"), "text"), "text-copies")
-    single = rows.join(_with_reps(copies), "id", "left_anti")
+    single = written(rows.join(_with_reps(copies), "id", "left_anti"), "texts")
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,7 +433,7 @@ def text_links(items: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFra
     parts = _parts(items, TEXT_BANDS)
     share = (1 - least) / (1 + least)  # of both sizes together, by which sets of Jaccard similarity `least` differ
     close = written(_candidates(lambda seed: single.mapInArrow(_text_sketches(parts, seed), _BLOB), parts, partial(Parities, share=share), "text-buckets"), "text-pairs")
-    few = rows.join(_ends(close), "id", "left_semi")
+    few = single.join(_small(written(_ends(close), "text-ends"), 32), "id", "left_semi")
     pairs = close.join(few.select(F.col("id").alias("a"), F.col("build_id").alias("ba"), F.col("text").alias("ta")), "a")
     pairs = pairs.join(few.select(F.col("id").alias("b"), F.col("build_id").alias("bb"), F.col("text").alias("tb")), "b").filter("ba = bb")
 
@@ -461,7 +461,7 @@ def vector_links(items: DataFrame, dim: int, least: float = 0.98) -> tuple[DataF
     single = rows.join(_with_reps(copies), "id", "left_anti")
     parts = _parts(items, VEC_BANDS)
     close = written(_candidates(lambda seed: single.mapInArrow(_vector_sketches(parts, dim, seed), _BLOB), parts, partial(Projections, least=least), "vector-buckets"), "vector-pairs")
-    few = rows.join(_ends(close), "id", "left_semi")
+    few = rows.join(_small(written(_ends(close), "vector-ends"), 32), "id", "left_semi")
     pairs = close.join(few.select(F.col("id").alias("a"), F.col("build_id").alias("ba"), F.col("embedding").alias("ea")), "a")
     pairs = pairs.join(few.select(F.col("id").alias("b"), F.col("build_id").alias("bb"), F.col("embedding").alias("eb")), "b").filter("ba = bb")
 
