@@ -588,23 +588,23 @@ def _heavy_sql(out: str, heavy: bool) -> str:
     return " UNION ALL ".join(parts_)
 
 
+def _keys(t: str) -> dict[str, int]:
+    return {k: round(1 / share) for name, k, share in HEAVY if name == t}
+
+
 @query("p4_found", _heavy_sql("top_id", True))
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for t, k, share in HEAVY:
-        df = table(spark, d, t).select("build_id", F.col(k), "id")
-        got = heavykeys.heavy(df, ["build_id"], k, "id", share, df.count())
-        got = got.select(F.lit(t).alias("table_name"), F.lit(k).alias("key_name"), "build_id", "key_value", "top_id")
-        out = got if out is None else out.unionByName(got)
-    return out
+    each = []
+    for t in dict.fromkeys(t for t, _, _ in HEAVY):
+        got = heavykeys.heavy(table(spark, d, t), ["build_id"], _keys(t), "id")
+        each.append(got.select(F.lit(t).alias("table_name"), "key_name", "build_id", "key_value", "top_id"))
+    return each[0].unionByName(each[1])
 
 
 @query("p4_per_key", _heavy_sql("rows, ids, top_id, top_rows", False))
 def p4_per_key(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for t, k, _ in HEAVY:
-        df = table(spark, d, t).select("build_id", F.col(k), "id")
-        got = heavykeys.per_key(df, ["build_id"], k, "id", df.count())
-        got = got.select(F.lit(t).alias("table_name"), F.lit(k).alias("key_name"), "build_id", "key_value", "rows", "ids", "top_id", "top_rows")
-        out = got if out is None else out.unionByName(got)
-    return out
+    each = []
+    for t in dict.fromkeys(t for t, _, _ in HEAVY):
+        got = heavykeys.per_key(heavykeys.keyed(table(spark, d, t), ["build_id"], list(_keys(t)), "id"), ["build_id"])
+        each.append(got.select(F.lit(t).alias("table_name"), "key_name", "build_id", "key_value", "rows", "ids", "top_id", "top_rows"))
+    return each[0].unionByName(each[1])
