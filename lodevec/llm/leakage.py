@@ -1,7 +1,12 @@
 """Test items that stand in documents, by a generalised suffix automaton over the items' words.
 
 The automaton of all items is built once; a document's words stream through it and at each word the automaton knows
-the longest run ending there that is part of some item. Time is linear in the documents, whatever the number of items.
+the longest run ending there that is part of some item. Where that run grows by a word, the items that hold it stay the
+same and no suffix of it that is long enough is held by others, nothing is looked up; else the states of such suffixes
+are visited.
+
+Items are read on the driver and their automata go to every task, so the words of all items together are bounded
+(MOST_WORDS): evaluation sets are small beside a corpus. Documents are read once, whatever the items.
 """
 
 from __future__ import annotations
@@ -14,8 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of all items in one automaton (about 200 bytes each). More items make several automata, one after another.
-GROUP_WORDS = 200_000
+#: Words of all items (about 200 bytes each in a task), and those of one automaton.
+MOST_WORDS, GROUP_WORDS = 5_000_000, 200_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -43,6 +48,11 @@ class Automaton:
             held[self.link[v]] |= held[v]
         held[0] = set()
         self.items = [tuple(sorted(h)) for h in held]
+        #: of each state the nearest suffix that more items hold
+        self.wider = [0] * len(self.link)
+        for v in sorted(range(1, len(self.link)), key=lambda v: self.length[v]):
+            u = self.link[v]
+            self.wider[v] = u if len(self.items[u]) > len(self.items[v]) or not u else self.wider[u]
 
     def _new(self, length: int, step: dict[int, int], link: int) -> int:
         self.length.append(length)
@@ -78,44 +88,56 @@ class Automaton:
         """({item: longest run of words shared with it, from least on}, [(first, last) word of each maximal run])."""
         best: dict[int, int] = defaultdict(int)
         runs: list[tuple[int, int]] = []
-        v = n = 0
+        v = n = seen = 0  # seen: the state of the word before, if its run was long enough
         step, link, length, known = self.step, self.link, self.length, self.vocabulary.get
+
+        def note(v: int, n: int) -> None:
+            while n >= least:
+                for item in self.items[v]:
+                    if n > best[item]:
+                        best[item] = n
+                v = self.wider[v]
+                n = length[v]
+
+        before = 0
         for at, w in enumerate(words):
             c = known(w)
-            if c is None:
-                v = n = 0
-                continue
-            while v and c not in step[v]:
-                v = link[v]
-                n = length[v]
-            nxt = step[v].get(c)
+            nxt = None
+            if c is not None:
+                while v and c not in step[v]:
+                    v = link[v]
+                    n = length[v]
+                nxt = step[v].get(c)
             if nxt is None:
-                n = 0
-                continue
-            v, n = nxt, n + 1
-            if n >= least:
+                v = n = 0
+            else:
+                v, n = nxt, n + 1
+            if seen and not (n == before + 1 and self.items[v] == self.items[seen] and length[self.wider[seen]] < least):
+                note(seen, before)
+            seen, before = (v, n) if n >= least else (0, 0)
+            if seen:
                 if runs and runs[-1][1] == at - 1 and runs[-1][0] <= at - n + 1:
                     runs[-1] = (runs[-1][0], at)
                 else:
                     runs.append((at - n + 1, at))
-                u, held = v, n
-                while held >= least:
-                    for item in self.items[u]:
-                        best[item] = max(best[item], held)
-                    u = link[u]
-                    held = length[u]
+        if seen:
+            note(seen, before)
         return best, runs
 
 
 def automata(items: DataFrame) -> list[Automaton]:
     """Automata of (item_id, passage). Null passages and those without words are left out; of an item_id given more
-    than once all passages count. The items are held-out test material, read in groups of GROUP_WORDS words."""
-    out, group, n = [], [], 0
+    than once all passages count. The items are held-out test material, read in groups of GROUP_WORDS words; more than
+    MOST_WORDS in all raise ValueError."""
+    out, group, n, total = [], [], 0, 0
     for r in items.select("item_id", "passage").filter("passage is not null and item_id is not null").toLocalIterator():
         words = [w for w, _, _ in spans(r.passage)]
         if n and n + len(words) > GROUP_WORDS:
             out.append(Automaton(group))
             group, n = [], 0
+        total += len(words)
+        if total > MOST_WORDS:
+            raise ValueError(f"items of more than {MOST_WORDS} words; look for them in parts")
         group.append((r.item_id, words))
         n += len(words)
     return [*out, Automaton(group)] if group else out
@@ -125,23 +147,22 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 12) -> DataFrame:
     """(doc_id, item_id, words, item_words): items of which a document holds `least` or more consecutive words, with
     the longest such run. Null and blank texts and documents without an id give nothing. Equal documents each give their own rows."""
     spark = documents.sparkSession
-    out = spark.createDataFrame([], "doc_id long, item_id long, words int, item_words int")
-    for a in automata(items):
-        shared = spark.sparkContext.broadcast(a)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            a = shared.value
-            for pdf in batches:
-                rows = [
-                    (d, item, n, a.size[item])
-                    for d, text in zip(pdf.doc_id, pdf.text)
-                    for item, n in a.longest([w for w, _, _ in spans(text)], least)[0].items()
-                ]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "item_words"])
-
-        found = documents.filter("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, out.schema)
-        out = out.unionByName(found)
-    return out
+    made = [spark.sparkContext.broadcast(a) for a in automata(items)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for d, text in zip(pdf.doc_id, pdf.text):
+                names = [w for w, _, _ in spans(text)]
+                got: dict[tuple[int, int], int] = {}
+                for a in made:
+                    for item, n in a.value.longest(names, least)[0].items():
+                        key = item, a.value.size[item]
+                        got[key] = max(n, got.get(key, 0))
+                rows += [(d, item, n, size) for (item, size), n in got.items()]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "item_words"])
+
+    return documents.filter("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, words int, item_words int")
 
 
 def cleaned(documents: DataFrame, items: DataFrame, least: int = 12, most_share: float = 0.5) -> DataFrame:

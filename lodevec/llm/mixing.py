@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.session import written
+from lodevec.session import BROADCAST_LIMIT, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Documents of a block, and residuals that meet at one node of the tree.
@@ -31,18 +31,24 @@ def source_name(c: Column) -> Column:
 
 def with_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens): source trimmed and lower-cased, tokens of the whole text. Documents without a text
-    have none to give and are left out; those without a source belong to no target and are left out too."""
+    have none to give and are left out; those without a source belong to no target and are left out too. tokenizer: path
+    of a vocabulary file that the driver can read; tasks get its content."""
+    with open(tokenizer, "rb") as f:
+        content = f.read()
+    if len(content) > BROADCAST_LIMIT:
+        raise ValueError(f"{tokenizer}: {len(content) >> 20} MB go to no task")
+    shared = documents.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_buffer(shared.value)
         t.encode_special_tokens = True
         for pdf in batches:
             n = []
             for i in range(0, len(pdf), 500):
-                n += [len(e) for e in t.encode_batch(list(pdf.text.iloc[i : i + 500]), add_special_tokens=False)]
+                n += [len(e) for e in t.encode_batch_fast(list(pdf.text.iloc[i : i + 500]), add_special_tokens=False)]
             yield pd.DataFrame({"doc_id": pdf.doc_id, "source": pdf.source, "tokens": np.array(n, "i8")})
 
     plain = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter("text is not null and source is not null and doc_id is not null")
@@ -133,9 +139,33 @@ def mixture(counted: DataFrame, planned: DataFrame, seed: int = 7, block_rows: i
 
 
 def report(mixed: DataFrame, planned: DataFrame) -> DataFrame:
-    """(source, outcome, weight, share, tokens, copies, most_copies): shares really reached, of the mixture's tokens."""
-    got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"))
+    """(source, outcome, weight, share, tokens, copies, fewest_copies, most_copies): shares really reached, of the
+    mixture's tokens, and the outcome that the copies drawn show: capped where every document has as many as allowed and
+    the target is still not reached, cut where none has more than one, else repeated. A source without documents is
+    capped unless its target is 0."""
+    got = mixed.groupBy("source").agg(
+        F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("copies"), F.min("copies").alias("fewest_copies"), F.max("copies").alias("most_copies")
+    )
     total = got.agg(F.sum("tokens").alias("total"))
-    rows = planned.select("source", "outcome", "weight").join(got, "source", "left").fillna(0, ["tokens", "copies", "most_copies"]).join(F.broadcast(total))
+    rows = planned.select("source", "weight", "max_repeats", "docs", "target_tokens").join(got, "source", "left").fillna(0, ["tokens", "copies", "fewest_copies", "most_copies"]).join(F.broadcast(total))
     share = F.when(F.col("total") > 0, F.col("tokens") / F.col("total")).otherwise(F.lit(0.0))
-    return rows.withColumn("share", share).select("source", "outcome", "weight", "share", "tokens", "copies", "most_copies")
+    all_used = (F.col("docs") == 0) | (F.col("fewest_copies") >= F.col("max_repeats"))
+    short = F.col("tokens") < F.col("target_tokens") * (1 - 1e-9)
+    outcome = F.when(all_used & short, "capped").when(F.col("most_copies") <= 1, "cut").otherwise("repeated")
+    return rows.select("source", outcome.alias("outcome"), "weight", share.alias("share"), "tokens", "copies", "fewest_copies", "most_copies")
+
+
+def checked(mixed: DataFrame, planned: DataFrame) -> DataFrame:
+    """(source, sum_ok, cap_ok, near_ok): what a mixture promises. The copies of a source differ from their expected
+    number by less than one; none is above its cap or more than one away from the expectation of a document; its tokens
+    differ from those expected by no more than one in a hundred and its longest document."""
+    got = mixed.groupBy("source").agg(
+        F.sum("copies").alias("n"), F.sum(F.col("tokens") * F.col("copies")).alias("t"), F.max("copies").alias("most"), F.min("copies").alias("fewest"), F.max("tokens").alias("longest")
+    )
+    rows = planned.join(got, "source", "left").fillna(0, ["n", "t", "most", "fewest", "longest"])
+    want, tokens = F.col("copies") * F.col("docs"), F.col("copies") * F.col("own_tokens")
+    inside = (F.col("most") <= F.least(F.ceil("copies"), F.col("max_repeats"))) & ((F.col("docs") == 0) | (F.col("fewest") >= F.floor("copies")))
+    return rows.select(
+        "source", ((F.col("docs") == 0) | (F.abs(F.col("n") - want) < 1 + 1e-6)).alias("sum_ok"), inside.alias("cap_ok"),
+        ((F.col("docs") == 0) | (F.abs(F.col("t") - tokens) <= 0.01 * tokens + F.col("longest"))).alias("near_ok"),
+    )

@@ -30,15 +30,21 @@ from lodevec.session import BROADCAST_LIMIT, written
 AXES, BLOCK, MERGE_MOST, LISTED_MOST = 48, 4096, 16_384, 20_000_000
 WIDTHS = (0.7, 1.0, 1.4)
 PRIOR_ROWS, LEAST_ROWS, EM_ROUNDS = 10.0, 3, 8
+#: Times the variance of all rows that the background has: a build that is one group is that group, not background.
+BROAD = 2.0
+#: Variance below which an axis is none.
+LEAST_VAR = 1e-3
 
 
 @dataclass
 class Space:
-    """Standardised, reduced features of a build: (x - mean) @ axes, with the variance along each axis."""
+    """Standardised, reduced features of a build: (x - mean) @ axes, with the variance along each axis. Few rows span
+    few axes; along the others, not live, all is 0 and says nothing."""
 
     mean: np.ndarray
     axes: np.ndarray
     var: np.ndarray
+    live: np.ndarray
     rows: int
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -47,7 +53,7 @@ class Space:
 
 @dataclass
 class Mixture:
-    """weight[k], mean[k][q], var[k][q]; background is the weight of the component with the space's own spread."""
+    """weight[k], mean[k][q], var[k][q]; background is the weight of the component with BROAD times the space's own spread."""
 
     weight: np.ndarray
     mean: np.ndarray
@@ -61,7 +67,8 @@ class Mixture:
         lp = np.square(z) @ (-0.5 * iv.T)
         lp += z @ (self.mean / self.var).T.astype("f4")
         lp += const.astype("f4")
-        bg = math.log(max(self.background, 1e-12)) - 0.5 * (np.log(space.var).sum() + (np.square(z) / space.var).sum(1))
+        broad = BROAD * space.var
+        bg = math.log(max(self.background, 1e-12)) - 0.5 * (np.log(broad).sum() + (np.square(z) / broad).sum(1))
         return lp, bg
 
 
@@ -106,7 +113,8 @@ def _moments(vectors: DataFrame, dim: int) -> dict[int, Space]:
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         var, axes = np.linalg.eigh(cov / np.outer(scale, scale))
         top = np.argsort(-var)[: min(AXES, dim)]
-        out[k] = Space(mean.astype("f4"), (axes[:, top] / scale[:, None]).astype("f4"), np.maximum(var[top], 1e-3).astype("f4"), int(n))
+        live = var[top] > LEAST_VAR
+        out[k] = Space(mean.astype("f4"), (axes[:, top] * live / scale[:, None]).astype("f4"), np.where(live, var[top], 1).astype("f4"), live, int(n))
     return out
 
 
@@ -417,8 +425,9 @@ class Fit:
         spread = np.maximum(square - mean**2, 0)
         big = n >= 2
         pooled = (n[big, None] * spread[big]).sum(0) / max(1.0, (n[big] - 1).sum()) if big.any() else self.spaces[b].var
-        pooled = np.maximum(np.maximum(pooled, 0.05 * pooled.mean()), 1e-4)
+        pooled = np.maximum(np.maximum(pooled, 0.05 * pooled[self.spaces[b].live].mean()), 1e-4) if self.spaces[b].live.any() else pooled + 1
         var = (n[:, None] * spread + PRIOR_ROWS * pooled) / (n[:, None] + PRIOR_ROWS)
+        var[:, ~self.spaces[b].live] = BROAD  # as the background
         total = self.spaces[b].rows
         return Mixture(n / total, mean.astype("f4"), var.astype("f4"), max(1 / total, 1 - n.sum() / total))
 

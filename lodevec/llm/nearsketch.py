@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodevec.functions import text as T
 from lodevec.functions import vector as V
-from lodevec.session import BROADCAST_LIMIT, written
+from lodevec.session import small, written
 
 #: Independent sketches, coordinates a band, bands of a sketch: texts from Jaccard 0.6, vectors from cosine 0.98.
 PASSES, BAND, TEXT_BANDS, VEC_BANDS = 2, 3, 16, 12
@@ -381,17 +381,12 @@ def _candidates(sketched, parts: int, near, name: str) -> DataFrame:
     return out.filter("a < b").distinct()
 
 
-def _small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A written table, to be broadcast where it is below the limit."""
-    return F.broadcast(df) if df.count() * row_bytes < BROADCAST_LIMIT // 4 else df
-
-
 def classes(rows: DataFrame, value: F.Column, name: str) -> DataFrame:
     """(id, rep, n) of rows that are copies of another of their build: rep, the smallest of the n ids of equal values.
     Only values that occur more than once come out, their representatives included."""
     h = rows.select("id", "build_id", F.xxhash64(value).alias("h"), F.xxhash64(F.lit(7), value).alias("g"))
     twice = written(h.groupBy("build_id", "h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("n")).filter("n > 1"), f"{name}-twice")
-    return h.join(_small(twice, 64), ["build_id", "h", "g"]).select("id", "rep", "n")
+    return h.join(small(twice, 64), ["build_id", "h", "g"]).select("id", "rep", "n")
 
 
 #: Bytes of bucket records one task should hold.
@@ -406,7 +401,7 @@ def _parts(df: DataFrame, bands: int) -> int:
 
 def _with_reps(copies: DataFrame) -> DataFrame:
     """Ids of copies that are not their class's representative."""
-    return _small(copies.filter("id <> rep").select("id"), 32)
+    return small(copies.filter("id <> rep").select("id"), 32)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -433,7 +428,7 @@ def text_links(items: DataFrame, least: float = 0.6) -> tuple[DataFrame, DataFra
     parts = _parts(items, TEXT_BANDS)
     share = (1 - least) / (1 + least)  # of both sizes together, by which sets of Jaccard similarity `least` differ
     close = written(_candidates(lambda seed: single.mapInArrow(_text_sketches(parts, seed), _BLOB), parts, partial(Parities, share=share), "text-buckets"), "text-pairs")
-    few = single.join(_small(written(_ends(close), "text-ends"), 32), "id", "left_semi")
+    few = single.join(small(written(_ends(close), "text-ends"), 32), "id", "left_semi")
     pairs = close.join(few.select(F.col("id").alias("a"), F.col("build_id").alias("ba"), F.col("text").alias("ta")), "a")
     pairs = pairs.join(few.select(F.col("id").alias("b"), F.col("build_id").alias("bb"), F.col("text").alias("tb")), "b").filter("ba = bb")
 
@@ -461,7 +456,7 @@ def vector_links(items: DataFrame, dim: int, least: float = 0.98) -> tuple[DataF
     single = rows.join(_with_reps(copies), "id", "left_anti")
     parts = _parts(items, VEC_BANDS)
     close = written(_candidates(lambda seed: single.mapInArrow(_vector_sketches(parts, dim, seed), _BLOB), parts, partial(Projections, least=least), "vector-buckets"), "vector-pairs")
-    few = rows.join(_small(written(_ends(close), "vector-ends"), 32), "id", "left_semi")
+    few = rows.join(small(written(_ends(close), "vector-ends"), 32), "id", "left_semi")
     pairs = close.join(few.select(F.col("id").alias("a"), F.col("build_id").alias("ba"), F.col("embedding").alias("ea")), "a")
     pairs = pairs.join(few.select(F.col("id").alias("b"), F.col("build_id").alias("bb"), F.col("embedding").alias("eb")), "b").filter("ba = bb")
 

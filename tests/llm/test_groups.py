@@ -61,11 +61,11 @@ def test_small_and_empty(spark):
 
 
 def test_density_is_that_of_a_gaussian():
-    s = M.Space(np.zeros(2, "f4"), np.eye(2, dtype="f4"), np.ones(2, "f4"), 10)
+    s = M.Space(np.zeros(2, "f4"), np.eye(2, dtype="f4"), np.ones(2, "f4"), np.ones(2, "?"), 10)
     m = M.Mixture(np.array([0.5]), np.array([[1.0, 0.0]], "f4"), np.array([[2.0, 0.5]], "f4"), 0.5)
     lp, bg = m.log_density(np.array([[0.0, 1.0]], "f4"), s)
     assert np.allclose(lp[0, 0], np.log(0.5) - 0.5 * (np.log(1.0) + 1 / 2 + 1 / 0.5), atol=1e-5)
-    assert np.allclose(bg[0], np.log(0.5) - 0.5, atol=1e-5)
+    assert np.allclose(bg[0], np.log(0.5) - 0.5 * (2 * np.log(M.BROAD) + 1 / M.BROAD), atol=1e-5)
 
 
 def test_clumps_of_reloaded_rows_stay_in_their_group(spark):
@@ -88,3 +88,9 @@ def test_a_third_copies_beside_small_groups(spark, monkeypatch, block, least):
     copies = [(5000 + i, 1, (v / np.linalg.norm(v)).tolist()) for i in range(500)]
     got = M.groups(spark.createDataFrame(rows + copies, SCHEMA), 64)
     assert [g for g in found(got) if len(g) >= least] == sorted(g for g in [*groups, [r[0] for r in copies]] if len(g) >= least)
+
+
+@pytest.mark.parametrize("sizes", [[22], [21, 9], [26, 12], [7]])
+def test_builds_of_fewer_rows_than_dimensions(spark, sizes):
+    rows, groups = planted(sizes, loose=0, seed=11)
+    assert found(M.groups(spark.createDataFrame(rows, SCHEMA), 64)) == sorted(groups)
