@@ -66,8 +66,8 @@ def parse_vector(c: Column) -> Column:
     return F.transform(F.filter(parts, lambda x: x != ""), lambda x: x.try_cast("float"))
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, dim: int, dtype: str = "f4") -> tuple[np.ndarray, np.ndarray]:
-    """(positions of the usable rows, their vectors as rows of a matrix) of a list column."""
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int, dtype: str = "f4", zeros: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the usable rows, their vectors as rows of a matrix) of a list column; zeros: all-zero ones too."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
@@ -82,5 +82,5 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int, dtype: str = "f4") -> t
         column = column.take(pa.array(at))
     flat = column.flatten()
     x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(dtype, copy=False)
-    fine = ~np.isnan(x).any(1) & (x != 0).any(1)
+    fine = ~np.isnan(x).any(1) & (zeros | (x != 0).any(1))
     return (at, x) if fine.all() else (at[fine], x[fine])

@@ -57,12 +57,27 @@ def assign(rows: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def update(rows: DataFrame, membership: DataFrame) -> DataFrame:
-    """(cluster_id, centroid): mean vector of each cluster's members, in double precision. One row per task and cluster
-    is shuffled at each position; a large cluster is no hot key, as its rows are summed where they are."""
-    joined = rows.select("id", "vec").join(membership.select("id", "cluster_id").filter("cluster_id is not null"), "id")
-    each = joined.select("cluster_id", F.posexplode(F.col("vec").cast("array<double>")).alias("pos", "x"))
-    means = each.groupBy("cluster_id", "pos").agg(F.avg("x").alias("x"))
-    return means.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
+    """(cluster_id, centroid): mean vector of each cluster's members, in double precision. Every task sums its own rows
+    and sends one vector a cluster, so a large cluster is no hot key."""
+    joined = rows.select("id", F.col("vec").cast("array<float>").alias("vec")).join(membership.select("id", F.col("cluster_id").cast("long").alias("cluster_id")).filter("cluster_id is not null"), "id")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            sizes = np.diff(b.column("vec").offsets.to_numpy()) if b.num_rows else np.zeros(0, "i8")
+            for dim in np.unique(sizes[sizes > 0]):
+                at, x = V.matrix(b.column("vec"), int(dim), "f8", zeros=True)
+                c = b.column("cluster_id").to_numpy()[at]
+                for k in np.unique(c):
+                    mine = x[c == k]
+                    total[int(k), int(dim)] = total.get((int(k), int(dim)), 0) + np.append(mine.sum(0), len(mine))
+        for (k, _), s in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([s[-1]]), pa.array([s[:-1].tolist()], pa.list_(pa.float64()))], names=["k", "n", "s"])
+
+    parts = joined.select("cluster_id", "vec").mapInArrow(sums, "k long, n double, s array<double>")
+    means = parts.select("k", "n", F.posexplode("s").alias("pos", "x")).groupBy("k", "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+    out = means.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
+    return out.select(F.col("k").cast("int").alias("cluster_id"), "centroid")
 
 
 def _sums(c: np.ndarray):
@@ -94,7 +109,7 @@ def kmeans(rows: DataFrame, k: int, max_iter: int = 30, seed: int = 42) -> DataF
     schema = "cluster_id int, centroid array<double>"
     if dim is None:
         return spark.createDataFrame([], schema)
-    good = rows.filter(V.usable(F.col("vec"), dim.d)).select("id", F.col("vec").cast("array<float>").alias("vec"))
+    good = written(rows.filter(V.usable(F.col("vec"), dim.d)).select("id", F.col("vec").cast("array<float>").alias("vec")), "kmeans-rows")
     start = good.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(k).collect()
     if not start:
         return spark.createDataFrame([], schema)
@@ -169,7 +184,7 @@ def hierarchical(rows: DataFrame, k0: int, k1: int, max_iter: int = 30, seed: in
 
         return run
 
-    plain = rows.filter("id is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
+    plain = written(rows.filter("id is not null").select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<float>").alias("vec")), "fine-rows")
     dim = c1.shape[1]
     for _ in range(max_iter):
         new = c1.copy()

@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions import vector as V
@@ -33,21 +34,24 @@ class Query:
     build: int | None = None
 
 
-def batch(queries: DataFrame) -> list[list[Query]]:
-    """The query set on the driver, in blocks that stay below the broadcast limit. Queries that cannot have a result
-    are left out. Of a qid given more than once all rows count, as one query each would."""
-    got, block, room = [], [], 0
+def batch(queries: DataFrame, row_bytes: int = 0) -> Iterator[list[Query]]:
+    """The query set in blocks that stay below the broadcast limit, one at a time; row_bytes is what a caller adds to
+    each. Queries that cannot have a result are left out. Of a qid given more than once all rows count, as one query
+    each would."""
+    block, room = [], 0
     build = F.col("build_id") if "build_id" in queries.columns else F.lit(None)
     for r in queries.filter("qid is not null").select("qid", "regex", "qvec", build.alias("build")).toLocalIterator():
         v = r.qvec
         if v is None or any(x is None or np.isnan(x) for x in v) or not any(v) or not regexplan.valid(r.regex):
             continue
-        block.append(Query(r.qid, r.regex, tuple(v), r.build))
-        room += 8 * len(v) + len(r.regex) + 64
-        if room > BROADCAST_LIMIT:
-            got.append(block)
+        size = 8 * len(v) + len(r.regex) + 64 + row_bytes
+        if block and room + size > BROADCAST_LIMIT:
+            yield block
             block, room = [], 0
-    return [*got, block] if block else got
+        block.append(Query(r.qid, r.regex, tuple(v), r.build))
+        room += size
+    if block:
+        yield block
 
 
 def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -61,6 +65,15 @@ def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return 1 - dot / (np.sqrt(np.square(x).sum(1)) * np.sqrt(np.square(q).sum()))
 
 
+def _rough(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """[rows][queries] numbers that order as distances do, but for an error of about 1e-13 of their size, by one matrix
+    product."""
+    g = x @ q.T
+    if metric == "l2":
+        return np.square(x).sum(1)[:, None] + np.square(q).sum(1)[None] - 2 * g
+    return -g if metric == "ip" else 1 - g / (np.sqrt(np.square(x).sum(1))[:, None] * np.sqrt(np.square(q).sum(1))[None])
+
+
 def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k smallest by (d, id), in order."""
     if len(d) > k:
@@ -69,34 +82,62 @@ def smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, d))
 
 
+#: Patterns whose matches the JVM finds before rows go to Python, as bits of one number; of more, Python finds all.
+MASK_BITS = 48
+
+
+def mask_of(queries: list[Query], case_sensitive: bool = False) -> Column:
+    """Bits of the patterns of a block that the row's str matches, null where there are too many patterns."""
+    patterns = sorted({q.regex for q in queries})
+    if len(patterns) > MASK_BITS:
+        return F.lit(None).cast("long")
+    bits = [F.when(F.col("str").rlike(regexplan.to_java(p, case_sensitive)), F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(patterns)]
+    return reduce(lambda a, b: a.bitwiseOR(b), [x.cast("long") for x in bits])
+
+
 class Matches:
     """Match masks of one Arrow batch, each distinct pattern evaluated once."""
 
-    def __init__(self, patterns: dict[str, object], texts: list[str | None]) -> None:
-        self.patterns, self.texts, self.known = patterns, texts, {}
+    def __init__(self, queries: list[Query], case_sensitive: bool) -> None:
+        self.names = sorted({q.regex for q in queries})
+        self.search = {p: regexplan.compiled(p, case_sensitive).search for p in self.names}
+
+    def of(self, batch: pa.RecordBatch, at: np.ndarray | None = None) -> Matches:
+        """Of a batch, or of its rows at these places: columns mask and str."""
+        take = (lambda c: batch.column(c)) if at is None else (lambda c: batch.column(c).take(pa.array(at)))
+        self.known: dict[str, np.ndarray] = {}
+        self.mask = None
+        if len(self.names) <= MASK_BITS and "mask" in batch.schema.names:
+            self.mask = take("mask").fill_null(0).to_numpy()
+        else:
+            self.texts = take("str").to_pylist()
+        return self
 
     def __call__(self, regex: str, among: np.ndarray | None = None) -> np.ndarray:
         """Positions that match; only those of among are looked at where it is given."""
+        if self.mask is not None:
+            bit = 1 << self.names.index(regex)
+            return np.flatnonzero(self.mask & bit) if among is None else among[self.mask[among] & bit != 0]
         if among is not None:
-            p, t = self.patterns[regex], self.texts
-            return np.array([i for i in among if t[i] is not None and p.search(t[i])], "i8")
+            s, t = self.search[regex], self.texts
+            return np.array([i for i in among if t[i] is not None and s(t[i])], "i8")
         if regex not in self.known:
-            search = self.patterns[regex].search
-            self.known[regex] = np.array([i for i, t in enumerate(self.texts) if t is not None and search(t)], "i8")
+            s = self.search[regex]
+            self.known[regex] = np.array([i for i, t in enumerate(self.texts) if t is not None and s(t)], "i8")
         return self.known[regex]
 
 
 _HITS = "qid long, id long, dist double, hit boolean"
 
 
-def _local(queries: list[Query], keep: int | None, metric: str, filtered: bool, case_sensitive: bool, builds: bool = False):
+def _local(queries: list[Query], keep: int | None, metric: str, filtered: bool, case_sensitive: bool, builds: bool, cells: list[np.ndarray] | None):
     """mapInArrow function. filtered: only matching rows compete; else all do, and hit says whether one matches.
-    keep None: all rows come out."""
+    keep None: all rows come out. cells: of each query those whose rows compete."""
     dim = len(queries[0].vec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = {q.regex: regexplan.compiled(q.regex, case_sensitive) for q in queries}
-        vecs = [np.array(q.vec) for q in queries]
+        patterns = Matches(queries, case_sensitive)
+        vecs = np.array([q.vec for q in queries])
         best = [(np.zeros(0), np.zeros(0, "i8"), np.zeros(0, "?")) for _ in queries]
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -108,17 +149,26 @@ def _local(queries: list[Query], keep: int | None, metric: str, filtered: bool,
                     )
 
         for b in batches:
-            at, x = V.matrix(b.column("vec"), dim)
+            at, x = V.matrix(b.column("vec"), dim, "f8")
             if not len(at):
                 continue
-            ids = b.column("id").take(pa.array(at)).to_numpy()
-            texts = b.column("str").take(pa.array(at)).to_pylist()
-            matches = Matches(patterns, texts)
-            build = b.column("build").take(pa.array(at)).fill_null(-1).to_numpy() if builds else None
+            place = pa.array(at)
+            ids = b.column("id").take(place).to_numpy()
+            matches = patterns.of(b, at)
+            build = b.column("build").take(place).fill_null(-1).to_numpy() if builds else None
+            cell = b.column("cell").take(place).fill_null(-1).to_numpy() if cells is not None else None
+            strip = max(1, (1 << 22) // len(at))
             for k, q in enumerate(queries):
-                rows = matches(q.regex) if filtered else np.arange(len(at))
+                if keep and k % strip == 0:
+                    rough = _rough(x, vecs[k : k + strip], metric)
+                rows = np.arange(len(at)) if cells is None else np.flatnonzero(np.isin(cell, cells[k]))
+                if filtered:
+                    rows = matches(q.regex) if cells is None else matches(q.regex, rows)
                 if builds:
                     rows = rows[build[rows] == (-2 if q.build is None else q.build)]
+                if keep and len(rows) > 2 * keep:
+                    r = rough[rows, k % strip]
+                    rows = rows[r <= np.partition(r, keep - 1)[keep - 1] + 1e-9 * (1 + np.abs(r).max())]
                 if not len(rows):
                     continue
                 d = distances(x[rows], vecs[k], metric)
@@ -144,17 +194,37 @@ def _local(queries: list[Query], keep: int | None, metric: str, filtered: bool,
     return run
 
 
-def _scan(corpus: DataFrame, queries: DataFrame, keep: int | None, metric: str, filtered: bool, case_sensitive: bool) -> DataFrame:
+def cells_of(block: list[Query], cells: DataFrame, column: str = "cell") -> list[np.ndarray]:
+    """Of each query of a block its cells; cells: (qid, cell). The caller has counted them into the block's size."""
+    names = {q.qid for q in block}
+    got: dict[int, list[int]] = {n: [] for n in names}
+    mine = cells.join(F.broadcast(cells.sparkSession.createDataFrame([(n,) for n in names], "qid long")), "qid", "left_semi")
+    for r in mine.select("qid", column).toLocalIterator():
+        got[r.qid].append(r[column])
+    return [np.array(sorted(got[q.qid]), "i8") for q in block]
+
+
+def _scan(corpus: DataFrame, queries: DataFrame, keep: int | None, metric: str, filtered: bool, case_sensitive: bool, cells: DataFrame | None = None, cell_count: int = 0) -> DataFrame:
+    """cells: (qid, cell) where a query sees only the rows of its cells; the corpus then has a column cell."""
     if metric not in V.METRICS:
         raise ValueError(f"metric is one of {sorted(V.METRICS)}")
     builds = "build_id" in corpus.columns and "build_id" in queries.columns
     build = F.col("build_id").cast("long") if builds else F.lit(None).cast("long")
-    rows = corpus.filter("id is not null").select(F.col("id").cast("long").alias("id"), "str", F.col("vec").cast("array<float>").alias("vec"), build.alias("build"))
+    cell = F.col("cell").cast("long") if cells is not None else F.lit(None).cast("long")
+    rows = corpus.filter("id is not null").select(F.col("id").cast("long").alias("id"), "str", F.col("vec").cast("array<float>").alias("vec"), build.alias("build"), cell.alias("cell"))
     out = corpus.sparkSession.createDataFrame([], _HITS)
-    for block in batch(queries):
-        dims = {len(q.vec) for q in block}
-        for dim in sorted(dims):
-            out = out.unionByName(rows.mapInArrow(_local([q for q in block if len(q.vec) == dim], keep, metric, filtered, case_sensitive, builds), _HITS))
+    for whole in batch(queries, 8 * cell_count):
+        for dim in sorted({len(q.vec) for q in whole}):
+            block = [q for q in whole if len(q.vec) == dim]
+            mine = None if cells is None else cells_of(block, cells)
+            asked = rows
+            if mine is not None:
+                wanted = sorted({int(c) for a in mine for c in a})
+                asked = rows.filter(F.col("cell").isin(wanted)) if len(wanted) <= 1000 else rows.join(F.broadcast(rows.sparkSession.createDataFrame([(c,) for c in wanted], "cell long")), "cell", "left_semi")
+            mask = mask_of(block, case_sensitive)
+            if filtered and len({q.regex for q in block}) <= MASK_BITS:
+                asked = asked.withColumn("mask", mask).filter("mask <> 0").drop("str")
+            out = out.unionByName(asked.mapInArrow(_local(block, keep, metric, filtered, case_sensitive, builds, mine), _HITS))
     return out
 
 
@@ -173,6 +243,13 @@ def groundtruth(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str
     return _result(ranked(_scan(corpus, queries, k, metric, True, case_sensitive), k))
 
 
+def in_cells(corpus: DataFrame, queries: DataFrame, cells: DataFrame, cell_count: int, k: int = 10) -> DataFrame:
+    """The k nearest matching rows of every query among those of its cells. corpus has a column cell, cells (qid, cell)
+    at most cell_count a query. Rows of cells that no query asks for are not read where the corpus is partitioned by
+    cell; no pair of a query and a row is ever shuffled but the k nearest a task."""
+    return _result(ranked(_scan(corpus, queries, k, "l2", True, False, cells, cell_count), k))
+
+
 def prefilter(corpus: DataFrame, queries: DataFrame, k: int = 10, sample_ratio: float = 1.0, seed: int = 42, metric: str = "l2") -> DataFrame:
     """As groundtruth, over a sample of each query's n matches: the max(k, floor(n * sample_ratio)) of them that come
     first by a seeded hash of (qid, id). A ratio of 1 or more is exact.
@@ -226,7 +303,7 @@ def topk(corpus: DataFrame, regex: str, qvec: list[float], k: int = 10, metric:
     return rows.select("id", V.METRICS[metric](F.col("vec"), q).alias("dist")).orderBy("dist", "id").limit(k)
 
 
-#: Patterns counted as expressions of one projection; more of them are counted on Arrow batches.
+#: Patterns counted as expressions of one projection; more of them are counted on Arrow batches, with the same result.
 EXPRESSIONS = 32
 
 

@@ -17,7 +17,7 @@ from lodevec.functions import vector as V
 from lodevec.operators import cluster, evaluate, exact, gramindex, graph, heavykeys, pq, search, sweep, workload
 from lodevec.plans import regexplan
 from lodevec.session import table, written
-from lodevec.sources import textio
+from lodevec.sources import binary, store, textio
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -319,10 +319,8 @@ def cluster_rank_nprobe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(cluster.rank_clusters(part_queries(spark, d), centroids(spark, d), 4))
 
 
-@query("cluster_listing", f"WITH {_PARTS}, {_CENTROIDS}, {_MEMBER} SELECT cluster_id, count(*) AS members, string_agg(id::VARCHAR, ' ' ORDER BY id) AS ids FROM member GROUP BY cluster_id")
+@query("cluster_listing", f"WITH {_PARTS}, {_CENTROIDS}, {_MEMBER} SELECT cluster_id, id // 1000 AS part, count(*) AS members, string_agg(id::VARCHAR, ' ' ORDER BY id) AS ids FROM member GROUP BY cluster_id, id // 1000")
 def cluster_listing(spark: SparkSession, d: str) -> DataFrame:
-    from lodevec.sources import store
-
     return store.listing(membership(spark, d))
 
 
