@@ -61,3 +61,8 @@ def is_blank(c: Column, placeholders: tuple[str, ...] = ()) -> Column:
     """True for null, white space only, or one of the placeholders (compared in lower case)."""
     t = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     return F.coalesce((t == "") | t.isin(*placeholders) if placeholders else t == "", F.lit(True))
+
+
+def has_common(a: Column, b: Column) -> Column:
+    """Do two lists share an element? Never null for lists that are not."""
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))

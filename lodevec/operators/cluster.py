@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions import vector as V
-from lodevec.session import written
+from lodevec.session import small, written
 
 
 def centroid_list(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ def cluster_sizes(membership: DataFrame) -> DataFrame:
 def rank_clusters(queries: DataFrame, centroids: DataFrame, nprobe: int = 0, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, cluster_id, dist, rank): clusters by distance of their centroid, only those of allowed (qid, cluster_id)
     where given, the nprobe first where it is above 0. Both sides are small: a query batch and a centroid table."""
-    pairs = queries.select("qid", "qvec").join(F.broadcast(centroids.select("cluster_id", "centroid")))
+    pairs = queries.select("qid", "qvec").join(small(centroids.select("cluster_id", "centroid"), 1024))
     if allowed is not None:
         pairs = pairs.join(allowed.select("qid", "cluster_id"), ["qid", "cluster_id"], "left_semi")
     d = pairs.select("qid", "cluster_id", V.l2(F.col("centroid"), F.col("qvec")).alias("dist"))

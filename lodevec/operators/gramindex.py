@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.functions import text as T
+from lodevec.session import small
 
 
 def gram_index(rows: DataFrame, key: str) -> DataFrame:
@@ -24,10 +25,10 @@ def candidates(dnf: DataFrame, index: DataFrame, key: str, keys: DataFrame) -> D
     """(qid, key) of all keys that hold every gram of at least one conjunction of the query.
 
     index: distinct (gram, key). keys: all keys, for queries without a constraint. The plan side is small by its own
-    cap and is broadcast; the division is a count per (qid, conj_id, key), so no posting list meets one task.
+    cap and is broadcast while its size allows; the division is a count per (qid, conj_id, key), so no posting list meets one task.
     """
     need = dnf.filter("gram is not null")
-    held = index.join(F.broadcast(need), "gram").groupBy("qid", "conj_id", "n_grams", key).agg(F.count("*").alias("n"))
+    held = index.join(small(need, 32), "gram").groupBy("qid", "conj_id", "n_grams", key).agg(F.count("*").alias("n"))
     some = held.filter("n = n_grams").select("qid", key)
-    every = keys.select(key).filter(F.col(key).isNotNull()).distinct().join(F.broadcast(dnf.filter("gram is null").select("qid")))
+    every = keys.select(key).filter(F.col(key).isNotNull()).distinct().join(small(dnf.filter("gram is null").select("qid"), 16))
     return some.unionByName(every.select("qid", key)).distinct()

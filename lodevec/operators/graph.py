@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions import text as T
 from lodevec.functions import vector as V
+from lodevec.operators.cluster import centroid_list
 
 #: Rows of one block. A pair of blocks is one task's work: two vectors sets and a strip of distances in memory.
 BLOCK = 16_384
@@ -23,12 +27,46 @@ def knn_edges(rows: DataFrame, dim: int, k: int = 16) -> DataFrame:
     work, found by one matrix product in strips, and gives at most k candidates a row. Work is quadratic in a build,
     as exactness wants; the index-backed way is the similarity search over binary codes.
     """
-    good = rows.filter("id is not null and build_id is not null").filter(V.usable(F.col("vec"), dim)).select(F.col("id").cast("long").alias("id"), F.col("build_id").cast("int").alias("build_id"), F.col("vec").cast("array<float>").alias("vec"))
+    good = _good(rows, dim)
     blocks = good.groupBy("build_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
     placed = good.join(F.broadcast(blocks), "build_id").withColumn("b", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("nb") - 1)
-    as_query = placed.select("*", F.explode(other).alias("o")).select("build_id", F.col("b").alias("qb"), F.col("o").alias("xb"), F.lit(True).alias("is_query"), "id", "vec")
-    as_item = placed.select("*", F.explode(other).alias("o")).select("build_id", F.col("o").alias("qb"), F.col("b").alias("xb"), F.lit(False).alias("is_query"), "id", "vec")
+    return _met(placed.withColumn("cell", F.lit(0)), placed.withColumn("cell", F.lit(0)), k)
+
+
+def cell_edges(rows: DataFrame, centroids: DataFrame, dim: int, k: int = 16, nprobe: int = 4) -> DataFrame:
+    """As knn_edges, but a row looks only at the rows whose nearest centroid is one of its own nprobe nearest: work grows
+    with the rows of a few cells, not with the build. Edges that leave these cells are missed. centroids: (cluster_id,
+    centroid)."""
+    names, c = centroid_list(centroids)
+    good = _good(rows, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                _, x = V.matrix(b.column("vec"), dim, "f8")
+                d = np.square(c).sum(1)[None] - 2 * x @ c.T
+                near = np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype("i4")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(names[near].astype("i4")), pa.list_(pa.int32()))], names=[*b.schema.names, "cells"])
+
+    celled = good.mapInArrow(run, "id long, build_id int, vec array<float>, cells array<int>")
+    own = celled.select("id", "build_id", "vec", F.col("cells")[0].alias("cell"))
+    blocks = own.groupBy("build_id", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    here = own.join(F.broadcast(blocks), ["build_id", "cell"])
+    asking = celled.select("id", "build_id", "vec", F.explode("cells").alias("cell")).join(F.broadcast(blocks), ["build_id", "cell"])
+    b = F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")
+    return _met(asking.withColumn("b", b), here.withColumn("b", b), k)
+
+
+def _good(rows: DataFrame, dim: int) -> DataFrame:
+    good = rows.filter("id is not null and build_id is not null").filter(V.usable(F.col("vec"), dim))
+    return good.select(F.col("id").cast("long").alias("id"), F.col("build_id").cast("int").alias("build_id"), F.col("vec").cast("array<float>").alias("vec"))
+
+
+def _met(asking: DataFrame, here: DataFrame, k: int) -> DataFrame:
+    """Every block of the asking rows with every block of those here, cell by cell; of each row the k nearest."""
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")
+    as_query = asking.select("*", other).select("build_id", "cell", F.col("b").alias("qb"), F.col("o").alias("xb"), F.lit(True).alias("is_query"), "id", "vec")
+    as_item = here.select("*", other).select("build_id", "cell", F.col("o").alias("qb"), F.col("b").alias("xb"), F.lit(False).alias("is_query"), "id", "vec")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         q, x = pdf[pdf.is_query], pdf[~pdf.is_query]
@@ -57,7 +95,7 @@ def knn_edges(rows: DataFrame, dim: int, k: int = 16) -> DataFrame:
         got.insert(0, "build_id", pdf.build_id.iloc[0])
         return got
 
-    found = as_query.unionByName(as_item).groupBy("build_id", "qb", "xb").applyInPandas(work, _EDGE)
+    found = as_query.unionByName(as_item).groupBy("build_id", "cell", "qb", "xb").applyInPandas(work, _EDGE)
     w = Window.partitionBy("build_id", "src").orderBy("dist", "dst")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 

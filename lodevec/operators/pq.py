@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodevec.functions import vector as V
 from lodevec.operators.cluster import nearest
+from lodevec.session import small
 
 CODEBOOK = "sub int, code int, centroid array<double>"
 
@@ -89,7 +90,7 @@ def encode(rows: DataFrame, codebook: DataFrame) -> DataFrame:
 
 def distance_table(queries: DataFrame, codebook: DataFrame, sub_dim: int) -> DataFrame:
     """(qid, sub, code, d2): squared distance of each query slice to each code word."""
-    pairs = queries.select("qid", "qvec").join(F.broadcast(codebook))
+    pairs = queries.select("qid", "qvec").join(small(codebook, 1024))
     piece = F.slice(F.col("qvec"), F.col("sub") * sub_dim + 1, F.lit(sub_dim))
     return pairs.select("qid", "sub", "code", V.squared_l2(F.col("centroid"), piece).alias("d2"))
 

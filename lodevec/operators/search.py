@@ -121,6 +121,20 @@ def graph(corpus: DataFrame, queries: DataFrame, node_grams: DataFrame, k: int =
     return some.unionByName(exact.groundtruth(corpus, queries.join(names, "qid", "left_semi"), k)) if free else some
 
 
+def graph_full(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """graph over an index made here."""
+    return graph(corpus, queries, gramindex.gram_index(corpus, "id"), k)
+
+
+def conjunction(corpus: DataFrame, grams: list[str], node_grams: DataFrame, qvec: list[float], k: int = 10) -> DataFrame:
+    """(id, dist): the k nearest rows that hold all of the trigrams, whatever their text else; all rows without any."""
+    need = sorted(set(grams))
+    held = node_grams.filter(F.col("gram").isin(need)).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(need))
+    rows = corpus.join(held, "id", "left_semi") if need else corpus
+    q = F.array(*[F.lit(float(x)) for x in qvec])
+    return rows.filter(V.usable(F.col("vec"), len(qvec))).select("id", V.l2(F.col("vec"), q).alias("dist")).orderBy("dist", "id").limit(k)
+
+
 #: Up to so many candidates of a query are scanned exactly; of more, so many are entries of its beam.
 EXACT_MOST, ENTRIES = 500, 8
 

@@ -47,17 +47,24 @@ def with_selectivity(queries: DataFrame, counts: DataFrame, total: int, lo: floa
     return queries.join(counts, "qid").filter(F.col("matches").between(least, most))
 
 
-def generate(rows: DataFrame, sources: DataFrame, lo: float, hi: float, k: int = 10, styles: tuple[str, ...] = STYLES) -> DataFrame:
+def generate(rows: DataFrame, sources: DataFrame, lo: float, hi: float, k: int = 10, styles: tuple[str, ...] = STYLES, cycle: Column | None = None) -> DataFrame:
     """(qid, id, style, regex, matches, qvec): queries from the texts of the source rows (id, str, vec), in every style
     a text can give, kept where the pattern's matches among all rows lie in the band. qvec is the source's own vector.
-    qid is 10 * id + number of the style."""
+    qid is 10 * id + number of the style. cycle: the number of the one style a source takes, so that styles come in turn;
+    a source whose style gives no pattern in the band gives none."""
     number = F.array_position(F.array(*map(F.lit, styles)), F.col("style")) - 1
     made = candidates(sources, styles).withColumn("qid", F.col("id") * 10 + number)
+    made = made if cycle is None else made.filter(number == cycle)
     patterns = {r.qid: r.regex for r in made.select("qid", "regex").collect()}  # the stated query set
     kept = with_selectivity(made, match_counts(rows, patterns), rows.count(), lo, hi, k)
     return kept.join(sources.select("id", F.col("vec").alias("qvec")), "id").select("qid", "id", "style", "regex", "matches", "qvec")
 
 
+def containing(words: tuple[str, ...]) -> list[str]:
+    """The plain list form: a pattern a word, anything before and behind it."""
+    return [f".*{w}.*" for w in words]
+
+
 def sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """Exactly min(n, all) rows, the first by a seeded hash of the id; the same rows in every run."""
     return rows.orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col("id"))), "id").limit(n)

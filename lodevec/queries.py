@@ -7,7 +7,9 @@ have deterministic stand-ins where the SQL twin needs them: the first vectors se
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from lodevec.functions import text as T
 from lodevec.functions import vector as V
 from lodevec.operators import cluster, evaluate, exact, gramindex, graph, heavykeys, pq, search, sweep, workload
 from lodevec.plans import regexplan
-from lodevec.session import table, written
+from lodevec.session import checkpoint_dir, small, table, written
 from lodevec.sources import binary, store, textio
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -132,9 +134,14 @@ def prefilter_exact(spark: SparkSession, d: str) -> DataFrame:
     return rounded(exact.prefilter(items(spark, d), item_queries(spark, d), K, 1.0))
 
 
-@query("prefilter_sampled")
+@query("prefilter_sampled", f"WITH {_ITEMS}, {_ITEM_Q}, {_GT} SELECT qid, least(count(*), {K}) AS rows, true AS inside FROM hits GROUP BY qid")
 def prefilter_sampled(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(exact.prefilter(items(spark, d), item_queries(spark, d), K, 0.5))
+    """Of each query the rows found in a half of its matches, and whether all of them are matches at their distance."""
+    rows, q = items(spark, d), item_queries(spark, d)
+    got = exact.prefilter(rows, q, K, 0.5)
+    every = exact.groundtruth(rows, q, rows.count()).select("qid", "id", F.col("dist").alias("true_dist"))
+    both = got.join(every, ["qid", "id"], "left")
+    return both.groupBy("qid").agg(F.count("*").alias("rows"), F.every(F.coalesce(F.col("dist") == F.col("true_dist"), F.lit(False))).alias("inside"))
 
 
 @query("postfilter_unlimited", SQL["groundtruth_batch"])
@@ -157,12 +164,26 @@ def regex_case_sensitive(spark: SparkSession, d: str) -> DataFrame:
     return exact.match_counts(items(spark, d), dict(enumerate(PATTERNS)), case_sensitive=True)
 
 
-@query("regex_invalid")
+@query("regex_invalid", "SELECT 0::BIGINT AS qid, 0::BIGINT AS rank, 0::BIGINT AS id, 0.0::DOUBLE AS dist FROM items WHERE false")
 def regex_invalid(spark: SparkSession, d: str) -> DataFrame:
     q = part_queries(spark, d).withColumn("regex", F.lit("(unclosed"))
     return exact.groundtruth(parts(spark, d), q, K)
 
 
+#: Constructs over texts with mixed line ends, which both engines and the SQL twin must take alike.
+DIALECT = ["the.index", "s.$", r"\.$", r"^In\b", r"\r", r"t.\n", "[[:digit:]]+ MB", "(?P<first>o)n", "[^a-z ]{3}", r"\bof\b", r"[[:upper:]]{4}", "e{2}"]
+
+
+@query("regex_dialect", "SELECT way, n::BIGINT AS qid, count(*) FILTER (WHERE regexp_matches(text, p, 'i')) AS matches FROM documents, (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(DIALECT)) + ") p(n, p), (VALUES ('few'), ('many')) w(way) GROUP BY ALL")
+def regex_dialect(spark: SparkSession, d: str) -> DataFrame:
+    """The same patterns counted as expressions, and among so many others that Python counts them."""
+    texts = table(spark, d, "documents").select(F.col("text").alias("str"))
+    few = dict(enumerate(DIALECT))
+    many = few | {1000 + i: f"nosuch{i}" for i in range(exact.EXPRESSIONS)}
+    each = [exact.match_counts(texts, p).filter(F.col("qid") < 1000).withColumn("way", F.lit(way)) for way, p in (("few", few), ("many", many))]
+    return each[0].unionByName(each[1])
+
+
 def _metric(name: str, sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         return rounded(exact.groundtruth(items(spark, d), item_queries(spark, d), K, name))
@@ -198,7 +219,7 @@ def dblp_title_extract(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("id", T.title_of(line).alias("title"))
 
 
-@query("html_unescape")
+@query("html_unescape", r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(coalesce(text, ''), '&#39;', chr(39)), '&amp;', '&'), '[^a-zA-Z ]', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM documents")
 def html_unescape(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.clean_text(T.unescape_html("text")).alias("clean"))
 
@@ -257,19 +278,38 @@ def gram_posting_stats(spark: SparkSession, d: str) -> DataFrame:
     return gramindex.posting_stats(gramindex.gram_index(items(spark, d), "id"), "id")
 
 
-_CAND = {0: "graph|tree", 1: "vector.*hash", 2: "(red|blue).*light", 3: "ab"}
+#: Patterns and, worked out by hand, the trigrams a match must hold: any of the lists, all of a list; None where nothing
+#: is certain. The planner is held against these.
+_CAND = {
+    "graph|tree": [["gra", "rap", "aph"], ["tre", "ree"]],
+    "vector.*hash": [["vec", "ect", "cto", "tor", "has", "ash"]],
+    "(red|blue).*light": [["red", "lig", "igh", "ght"], ["blu", "lue", "lig", "igh", "ght"]],
+    "ab": None,
+    "colou?r": [["col", "olo"]],
+    "(tree){0,3}": None,
+    "[a-z]+approach$": [["app", "ppr", "pro", "roa", "oac", "ach"]],
+    "(learned|exact) (tree|hash)": [["lea", "ear", "arn", "rne", "ned", "tre", "ree"], ["lea", "ear", "arn", "rne", "ned", "has", "ash"], ["exa", "xac", "act", "tre", "ree"], ["exa", "xac", "act", "has", "ash"]],
+    "river lies": [["riv", "ive", "ver", "er ", "r l", " li", "lie", "ies"]],
+    "cover2tree": [["cov", "ove", "ver", "tre", "ree"]],
+}
+_P_PLAN = {
+    "red|blue": [["red"], ["blu", "lue"]], "small.*ring": [["sma", "mal", "all", "rin", "ing"]], "^hot": [["hot"]], "steel$": [["ste", "tee", "eel"]], "e.*d": None, "green": [["gre", "ree", "een"]],
+}
+
+
+def _held(key: str, table_: str, all_: list[str]) -> str:
+    return f"SELECT {key} FROM {table_} WHERE gram IN ({', '.join(map(repr, all_))}) GROUP BY {key} HAVING count(*) = {len(all_)}"
+
+
 _CAND_SQL = " UNION ".join(
-    f"SELECT {q}::BIGINT AS qid, id FROM items"
-    if dnf == regexplan.ALL
-    else " UNION ".join(f"SELECT {q}::BIGINT AS qid, id FROM ng WHERE gram IN ({', '.join(repr(g) for g in sorted(c))}) GROUP BY id HAVING count(*) = {len(c)}" for c in dnf)
-    for q, dnf in ((q, regexplan.required(p)) for q, p in _CAND.items())
+    f"SELECT {q}::BIGINT AS qid, id FROM items" if plan is None else " UNION ".join(f"SELECT {q}::BIGINT AS qid, id FROM ({_held('id', 'ng', c)})" for c in plan) for q, plan in enumerate(_CAND.values())
 )
 
 
 @query("candidates_dnf", f"WITH {_ITEM_GRAMS} {_CAND_SQL}")
 def candidates_dnf(spark: SparkSession, d: str) -> DataFrame:
     rows = items(spark, d)
-    return gramindex.candidates(regexplan.dnf_frame(spark, _CAND), gramindex.gram_index(rows, "id"), "id", rows)
+    return gramindex.candidates(regexplan.dnf_frame(spark, dict(enumerate(_CAND))), gramindex.gram_index(rows, "id"), "id", rows)
 
 
 @query("candidates_conjunction", f"WITH {_ITEM_GRAMS} SELECT 0::BIGINT AS qid, id FROM ng WHERE gram IN ('vec', 'ect', 'cto', 'tor') GROUP BY id HAVING count(*) = 4")
@@ -279,10 +319,10 @@ def candidates_conjunction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _may(pattern: str, keys: str, grams: str, key: str) -> str:
-    dnf = regexplan.required(pattern)
-    if dnf == regexplan.ALL:
+    plan = _P_PLAN[pattern]
+    if plan is None:
         return f"SELECT qid, {key} FROM q, {keys} WHERE regex = '{pattern}'"
-    return " UNION ".join(f"SELECT qid, {key} FROM q, (SELECT {key} FROM {grams} WHERE gram IN ({', '.join(repr(g) for g in sorted(c))}) GROUP BY {key} HAVING count(*) = {len(c)}) WHERE regex = '{pattern}'" for c in dnf)
+    return " UNION ".join(f"SELECT qid, {key} FROM q, ({_held(key, grams, c)}) WHERE regex = '{pattern}'" for c in plan)
 
 
 _MAY_CLUSTER = "may AS (" + " UNION ".join(_may(p, "centroids", "cg", "cluster_id") for p in P_PATTERNS) + ")"
@@ -324,10 +364,25 @@ def cluster_listing(spark: SparkSession, d: str) -> DataFrame:
     return store.listing(membership(spark, d))
 
 
-@query("kmeans_trained")
+@query("kmeans_trained", f"WITH {_PARTS} SELECT {N_CENTROIDS}::BIGINT AS clusters, count(*) AS rows, true AS nearer FROM corpus")
 def kmeans_trained(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters, rows in them, and whether rows lie nearer their centroids than after no iteration."""
     rows = parts(spark, d)
-    return cluster.cluster_sizes(cluster.assign(rows, cluster.kmeans(rows, N_CENTROIDS, 10)))
+    trained, start = (cluster.assign(rows, written(cluster.kmeans(rows, N_CENTROIDS, n), "centroids")) for n in (10, 0))
+    before = start.agg(F.avg(F.col("dist") ** 2).alias("before"))
+    return trained.agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("rows"), F.avg(F.col("dist") ** 2).alias("after")).join(before).select("clusters", "rows", (F.col("after") < F.col("before")).alias("nearer"))
+
+
+def _facts(rows: DataFrame, q: DataFrame, got: DataFrame, least: float) -> DataFrame:
+    """Queries, whether every row found is a match at its distance, and whether mean recall is at least `least`."""
+    got = written(got, "found")
+    every = exact.groundtruth(rows, q, rows.count()).select("qid", "id", F.col("dist").alias("true_dist"))
+    right = got.join(every, ["qid", "id"], "left").agg(F.coalesce(F.every(F.coalesce(F.abs(F.col("dist") - F.col("true_dist")) < 1e-9, F.lit(False))), F.lit(True)).alias("right"))
+    s = evaluate.summary(evaluate.recall(q, exact.groundtruth(rows, q, K), got, K))
+    return s.join(right).select("queries", "right", (F.col("mean_recall") >= least).alias("enough"))
+
+
+_FACTS = f"WITH {_PARTS}, {_PART_Q} SELECT count(*) AS queries, true AS \"right\", true AS enough FROM q"
 
 
 # --- quantisation ------------------------------------------------------------------------------------------------
@@ -352,7 +407,7 @@ def pq_adc(spark: SparkSession, d: str) -> DataFrame:
     lut = pq.distance_table(part_queries(spark, d), codebook(spark, d), DIM // PQ_M)
     rows = lut.groupBy("qid", "sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "d2"))), lambda s: s["d2"]).alias("t"))
     wide = rows.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("sub", "t"))), lambda s: s["t"]).alias("lut"))
-    pairs = pq.encode(parts(spark, d), codebook(spark, d)).join(F.broadcast(wide))
+    pairs = pq.encode(parts(spark, d), codebook(spark, d)).join(small(written(wide, "lut"), 8 * PQ_M * PQ_K))
     return pairs.select("qid", "id", F.round(pq.adc_column(F.col("code"), F.col("lut")), 6).alias("adc"))
 
 
@@ -374,14 +429,25 @@ def ann_fixed_codebook(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_ann(spark, d, 20, 6))
 
 
-@query("ann_trained")
+@query("ann_trained", _FACTS)
 def ann_trained(spark: SparkSession, d: str) -> DataFrame:
     rows = parts(spark, d)
     c = written(cluster.kmeans(rows, N_CENTROIDS, 10), "centroids")
     member = written(cluster.assign(rows, c), "membership")
     grams = gramindex.gram_index(rows.join(member.select("id", "cluster_id"), "id"), "cluster_id")
     book = written(pq.train(rows, DIM, PQ_M, 64), "codebook")
-    return rounded(search.ann(rows, part_queries(spark, d), c, member, grams, book, pq.encode(rows, book), K, 50, 8))
+    return _facts(rows, part_queries(spark, d), search.ann(rows, part_queries(spark, d), c, member, grams, book, pq.encode(rows, book), K, 100, 12), 0.8)
+
+
+@query("ann_stored", SQL["ann_fixed_codebook"])
+def ann_stored(spark: SparkSession, d: str) -> DataFrame:
+    """Saved, loaded and searched; the scan reads the files of its clusters."""
+    rows, book = parts(spark, d), codebook(spark, d)
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    index = {"centroids": centroids(spark, d), "gram_index": cluster_grams(spark, d), "codebook": book, "rows": search.index_rows(rows, membership(spark, d), pq.encode(rows, book))}
+    store.save(index, path, rows.count(), dim=DIM, m=PQ_M)
+    at = store.load(spark, path, rows.count(), dim=DIM, m=PQ_M)
+    return rounded(search.ann(rows, part_queries(spark, d), at["centroids"], None, at["gram_index"], at["codebook"], None, K, 20, 6, rows=at["rows"]))
 
 
 def _hier(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -400,13 +466,13 @@ def hier_probe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.hier(parts(spark, d), part_queries(spark, d), coarse, fine, member, grams, K, 2))
 
 
-@query("hier_trained")
+@query("hier_trained", _FACTS)
 def hier_trained(spark: SparkSession, d: str) -> DataFrame:
     rows = parts(spark, d)
     coarse, fine, member = cluster.hierarchical(rows, 4, 4, 10)
     member = written(member, "fine-membership")
     grams = gramindex.gram_index(rows.join(member.select("id", "fine_id"), "id"), "fine_id")
-    return rounded(search.hier(rows, part_queries(spark, d), coarse, fine, member.select("id", "fine_id"), grams, K))
+    return _facts(rows, part_queries(spark, d), search.hier(rows, part_queries(spark, d), coarse, fine, member.select("id", "fine_id"), grams, K, 3), 0.6)
 
 
 _KNN = f"knn AS (SELECT * FROM (SELECT a.build_id, a.id AS src, b.id AS dst, list_distance(a.vec, b.vec) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS rank FROM corpus a JOIN corpus b ON a.build_id = b.build_id AND a.id <> b.id) WHERE rank <= 8)"
@@ -436,11 +502,34 @@ def graph_exact_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(search.graph(parts(spark, d), part_queries(spark, d), node_grams(spark, d), K))
 
 
-@query("graph_beam")
+@query("graph_beam", _FACTS)
 def graph_beam(spark: SparkSession, d: str) -> DataFrame:
     rows = parts(spark, d)
     edges = written(graph.symmetric(graph.knn_edges(rows.withColumn("build_id", F.lit(0)), DIM, 16), 32), "edges")
-    return rounded(search.graph_beam(rows, part_queries(spark, d), edges, workload.sample(rows, 8), K, 64, 3, node_grams(spark, d)))
+    return _facts(rows, part_queries(spark, d), search.search("graph_beam", rows, part_queries(spark, d), K, edges=edges, entries=workload.sample(rows, 8), ef=64, rounds=3, node_grams=node_grams(spark, d)), 0.8)
+
+
+@query("graph_cell_edges", f"WITH {_PARTS} SELECT count(*) AS rows, true AS enough FROM corpus")
+def graph_cell_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours looked for in the 8 nearest of 16 cells only: rows with edges, and whether 0.6 of the true ones are
+    there; these vectors have no structure that cells could follow."""
+    rows = parts(spark, d).withColumn("build_id", F.lit(0))
+    near = written(graph.cell_edges(rows, centroids(spark, d), DIM, 8, 8), "cell-edges")
+    true_ = graph.knn_edges(rows, DIM, 8).select("src", "dst")
+    share = true_.join(near.select("src", "dst"), ["src", "dst"], "left_semi").agg(F.count("*").alias("hit")).join(true_.agg(F.count("*").alias("n")))
+    return near.agg(F.count_distinct("src").alias("rows")).join(share).select("rows", (F.col("hit") >= 0.6 * F.col("n")).alias("enough"))
+
+
+@query("graph_full_search", SQL["ann_full_ef"])
+def graph_full_search(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(search.graph_full(parts(spark, d), part_queries(spark, d), K))
+
+
+@query("grams_overlap", f"WITH {_LETTERS} SELECT a.id, len(a.g) > 0 AND len(b.g) > 0 AND list_has_any(a.g, b.g) AS shares FROM g a, (SELECT g FROM g WHERE id = (SELECT min(id) FROM items WHERE len(text) > 20)) b")
+def grams_overlap(spark: SparkSession, d: str) -> DataFrame:
+    rows = items(spark, d).select("id", F.coalesce(T.trigrams(T.preprocess_letters(F.col("str"))), F.array().cast("array<string>")).alias("g"))
+    first = items(spark, d).filter(F.length("str") > 20).agg(F.min_by("str", "id").alias("s")).select(T.trigrams(T.preprocess_letters(F.col("s"))).alias("other"))
+    return rows.join(F.broadcast(first)).select("id", T.has_common(F.col("g"), F.col("other")).alias("shares"))
 
 
 # --- evaluation and workload -------------------------------------------------------------------------------------
@@ -521,6 +610,36 @@ def query_gen_truth(spark: SparkSession, d: str) -> DataFrame:
     return rounded(exact.groundtruth(items(spark, d), q, K))
 
 
+def _kept(made: str, lo: float, hi: float) -> str:
+    return (
+        f"{_SOURCES}, made AS ({made}), counted AS (SELECT qid, count(*) AS matches FROM made JOIN items ON regexp_matches(text, regex, 'i') GROUP BY qid) "
+        f"SELECT made.*, matches FROM made JOIN counted USING (qid), (SELECT count(*) AS n FROM items) WHERE matches BETWEEN greatest({K}, ceil(n * {lo})) AND floor(n * {hi})"
+    )
+
+
+@query("query_gen_strict", "WITH " + _kept(f"SELECT id * 10 AS qid, id, 'wildcard' AS style, regex FROM ({_STYLE_SQL['wildcard']})", 0.001, 0.2))
+def query_gen_strict(spark: SparkSession, d: str) -> DataFrame:
+    """One style, none in its place where it gives no pattern; a wide band."""
+    rows = items(spark, d)
+    return workload.generate(rows, rows.filter("id % 100 = 0"), 0.001, 0.2, K, ("wildcard",)).drop("qvec")
+
+
+@query("query_gen_cycled", "WITH " + _kept(" UNION ALL ".join(f"SELECT id * 10 + {i} AS qid, id, '{n}' AS style, regex FROM ({_STYLE_SQL[n]}) WHERE id // 100 % 6 = {i}" for i, n in enumerate(workload.STYLES)), 0.01, 0.5))
+def query_gen_cycled(spark: SparkSession, d: str) -> DataFrame:
+    """Each source takes the next style in turn."""
+    rows = items(spark, d)
+    turn = F.pmod(F.floor(F.col("id") / 100), F.lit(6))
+    return workload.generate(rows, rows.filter("id % 100 = 0"), 0.01, 0.5, K, cycle=turn).drop("qvec")
+
+
+_CONTAINED = ("vector", "graph", "tree", "hash", "river", "album", "live", "close", "search", "the")
+
+
+@query("fixed_patterns", "SELECT p.n::BIGINT AS qid, count(*) FILTER (WHERE regexp_matches(text, '.*' || p.w || '.*', 'i')) AS matches FROM items, (VALUES " + ", ".join(f"({i}, '{w}')" for i, w in enumerate(_CONTAINED)) + ") p(n, w) GROUP BY ALL")
+def fixed_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return exact.match_counts(items(spark, d), dict(enumerate(workload.containing(_CONTAINED))))
+
+
 @query("recall_external", f"WITH {_RECALL} SELECT qid, hits, wanted, round(hits / {K}, 6) AS recall FROM r")
 def recall_external(spark: SparkSession, d: str) -> DataFrame:
     """Recall as the external baseline counts it: hits by k, whatever the size of the ground truth."""
@@ -540,14 +659,75 @@ def cluster_set_operations(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("parameter_sweep")
+def _grid(runs: list[tuple[str, str, object]]) -> str:
+    return "SELECT *, true AS sane FROM (VALUES " + ", ".join(f"('parts', '{m}', '{p}', '{v}')" for m, p, v in runs) + ") t(dataset, method, param, param_value)"
+
+
+def _sane(spark: SparkSession, metrics: DataFrame) -> DataFrame:
+    """Runs of a sweep, written as CSV and read again, with a check of what they measured."""
+    path = f"{checkpoint_dir(spark)}/summary-{uuid.uuid4().hex}"
+    sweep.write_csv(metrics, path)
+    got = spark.read.schema(metrics.schema).csv(path, header=True)
+    sane = F.col("recall_pct").between(0, 100) & (F.col("min_recall") * 100 <= F.col("recall_pct") + 1e-6) & (F.col("perfect") <= F.col("queries")) & (F.col("avg_time_ms") > 0) & (F.col("qps") > 0)
+    exact_ = (F.col("param") != "sample_ratio") | (F.col("param_value") != "1.0") | (F.col("recall_pct") == 100)
+    return got.select("dataset", "method", "param", "param_value", (sane & exact_).alias("sane"))
+
+
+_RUNS = [*(("ann", "ef", ef) for ef in (10, 50)), *(("prefilter", "sample_ratio", r) for r in (1.0, 0.5)), *(("postfilter", "max_expansion", m) for m in (10, 100))]
+
+
+@query("parameter_sweep", _grid(_RUNS))
 def parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
     rows, q = parts(spark, d), written(part_queries(spark, d), "queries")
     truth = written(exact.groundtruth(rows, q, K), "truth")
-    runs = [("ann", "ef", ef, lambda ef=ef: _ann(spark, d, ef, 8)) for ef in (10, 20, 50, 100)]
-    runs += [("prefilter", "sample_ratio", r, lambda r=r: exact.prefilter(rows, q, K, r)) for r in (1.0, 0.5, 0.3)]
-    runs += [("postfilter", "max_expansion", m, lambda m=m: exact.postfilter(rows, q, K, 10, m)) for m in (10, 100)]
-    return sweep.together({"parts": sweep.sweep(q, truth, runs, K)})
+    how = {"ann": lambda v: _ann(spark, d, v, 8), "prefilter": lambda v: exact.prefilter(rows, q, K, v), "postfilter": lambda v: exact.postfilter(rows, q, K, 10, v)}
+    return _sane(spark, sweep.together({"parts": sweep.sweep(q, truth, [(m, p, v, lambda m=m, v=v: how[m](v)) for m, p, v in _RUNS], K)}))
+
+
+_CLUSTER_RUNS = [("ann", f"clusters={c} ef", ef) for c in (4, 16) for ef in (10, 100)]
+
+
+@query("sweep_clusters_ef", _grid(_CLUSTER_RUNS))
+def sweep_clusters_ef(spark: SparkSession, d: str) -> DataFrame:
+    rows, q = parts(spark, d), written(part_queries(spark, d), "queries")
+    return _sane(spark, sweep.together({"parts": sweep.clusters_by_ef(rows, q, written(codebook(spark, d), "codebook"), (4, 16), (10, 100), K)}))
+
+
+_CLASSES = ("substring", "prefix", "wildcard")
+
+
+@query("sweep_pattern_class_ef", _grid([("ann", f"class={c} ef", ef) for c in _CLASSES for ef in (10, 100)]))
+def sweep_pattern_class_ef(spark: SparkSession, d: str) -> DataFrame:
+    rows = parts(spark, d)
+    c, book = centroids(spark, d), written(codebook(spark, d), "codebook")
+    made = workload.candidates(rows.filter("id % 100 = 0"), _CLASSES).join(rows.select("id", F.col("vec").alias("qvec")), "id").select(F.col("id").alias("qid"), "style", "regex", "qvec")
+    return _sane(spark, sweep.together({"parts": sweep.classes_by_ef(rows, written(made, "classes"), c, book, (10, 100), K)}))
+
+
+_FILES = "SELECT '{0}' AS fmt, id, i::INT AS pos, round(v[i + 1]::DOUBLE, 6) + 0.0 AS x FROM (SELECT row_number() OVER (ORDER BY {1}) - 1 AS id, {2} AS v FROM {3}), range({4}) t(i)"
+_NODES_OK = f"(SELECT id, vec FROM nodes WHERE {_OK.format('vec', 32)})"
+
+
+@query("vector_files", " UNION ALL ".join(_FILES.format(f, *x) for f, x in (("fvecs", ("vec_id", "embedding", "embeddings", DIM)), ("fbin", ("vec_id", "embedding", "embeddings", DIM)), ("bvecs", ("id", "vec", _NODES_OK, 32)), ("ivecs", ("id", "vec", _NODES_OK, 32)))))
+def vector_files(spark: SparkSession, d: str) -> DataFrame:
+    """Written as vector files in parts and read again; ids are positions."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    n = table(spark, d, "nodes").filter(V.usable(F.col("vec"), 32)).select("id", "vec")
+    out = []
+    for fmt, df in (("fvecs", e), ("fbin", e), ("bvecs", n), ("ivecs", n)):
+        path = f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+        binary.write_vectors(df, path, fmt)
+        got = binary.read_vectors(spark, path, fmt)
+        out.append(got.select(F.lit(fmt).alias("fmt"), "id", F.posexplode(F.col("vec").cast("array<double>")).alias("pos", "x")).withColumn("x", F.round("x", 6) + 0.0))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("query_text_tabs", f"WITH {_ITEMS}, {_ITEM_Q} SELECT qid, regex, i::INT AS pos, round(printf('%.6f', qvec[i + 1])::FLOAT::DOUBLE, 6) AS x FROM q, range({DIM}) t(i)")
+def query_text_tabs(spark: SparkSession, d: str) -> DataFrame:
+    """The form with a tab, in which patterns may hold blanks."""
+    lines = textio.format_queries(item_queries(spark, d), "\t")
+    back = textio.parse_queries(lines.withColumnRenamed("qid", "id"))
+    return back.select("qid", "regex", F.posexplode("qvec").alias("pos", "x")).withColumn("x", F.round(F.col("x").cast("double"), 6))
 
 
 @query("query_text_codec", f"WITH {_ITEMS}, {_ITEM_Q} SELECT qid, regex, i::INT AS pos, round(printf('%.6f', qvec[i + 1])::FLOAT::DOUBLE, 6) AS x FROM (SELECT * FROM q WHERE regex NOT LIKE '% %'), range({DIM}) t(i)")

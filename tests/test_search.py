@@ -221,3 +221,68 @@ def test_many_patterns_count_the_same(spark):
     want = {r.qid: r.matches for r in exact.match_counts(c, few).collect()}
     got = {r.qid: r.matches for r in exact.match_counts(c, many).collect()}
     assert got == {i: want[i % 5] for i in range(60) if i % 5 in want}
+
+
+def test_matches_come_from_either_engine(spark, monkeypatch):
+    c, q = random_corpus(spark)
+    want = ids(exact.groundtruth(c, q, 10))
+    monkeypatch.setattr(exact, "MASK_BITS", 2)
+    assert ids(exact.groundtruth(c, q, 10)) == want
+    assert ids(exact.postfilter(c, q, 10)) == want
+
+
+def test_queries_come_in_blocks(spark, monkeypatch):
+    c, q = random_corpus(spark)
+    want = ids(exact.groundtruth(c, q, 10))
+    monkeypatch.setattr(exact, "BROADCAST_LIMIT", 200)
+    assert len(list(exact.batch(q))) > 2
+    assert ids(exact.groundtruth(c, q, 10)) == want
+
+
+def test_cells_limit_what_a_query_sees(spark):
+    c, q = random_corpus(spark)
+    c = c.withColumn("cell", (F.col("id") % 5).cast("int"))
+    cells = spark.createDataFrame([(i, x) for i in range(7) for x in ([i % 5, 4] if i else [])], "qid long, cell int")
+    got = ids(exact.in_cells(c, q, cells, 2, 10))
+    for i, r in enumerate(q.orderBy("qid").collect()):
+        some = c.filter(F.col("cell").isin([i % 5, 4] if i else []))
+        assert got.get(i, []) == ids(exact.groundtruth(some, q.filter(F.col("qid") == i), 10)).get(i, [])
+
+
+def test_unconstrained_queries_see_all(spark):
+    c, _ = random_corpus(spark)
+    q = spark.createDataFrame([(0, "[a-z]", [0.1] * 8), (1, "deep", [0.1] * 8), (2, "a.", [0.2] * 8)], QUERY)
+    want = ids(exact.groundtruth(c, q, 10))
+    assert ids(search.graph_full(c, q, 10)) == want
+    edges = graph.symmetric(graph.knn_edges(c.withColumn("build_id", F.lit(0)), 8, 8), 16)
+    beam = search.graph_beam(c, q, edges, workload.sample(c, 4), 10, 300, 4)
+    assert evaluate.summary(evaluate.recall(q, exact.groundtruth(c, q, 10), beam)).first().mean_recall > 0.9
+
+
+def test_conjunction(spark, corpus):
+    grams = gramindex.gram_index(corpus, "id")
+    assert [r.id for r in search.conjunction(corpus, ["dee", "gra"], grams, [1.0, 1.0], 3).collect()] == [3]
+    assert search.conjunction(corpus, [], grams, [1.0, 1.0], 100).count() == 8
+
+
+def test_cluster_means_with_zero_rows(spark):
+    c = spark.createDataFrame([(0, [0.0, 0.0]), (1, [2.0, 4.0]), (2, None), (3, [1.0, 1.0])], "id long, vec array<float>")
+    m = spark.createDataFrame([(0, 7), (1, 7), (2, 7), (3, None)], "id long, cluster_id int")
+    assert [(r.cluster_id, list(r.centroid)) for r in cluster.update(c, m).collect()] == [(7, [1.0, 2.0])]
+
+
+def test_listing_in_lines(spark):
+    from lodevec.sources import store
+
+    m = spark.createDataFrame([(i, 1) for i in range(25)] + [(3, 1), (None, 1), (5, None)], "id long, cluster_id int")
+    got = {r.part: (r.members, r.ids) for r in store.listing(m, 10).collect()}
+    assert got == {0: (10, " ".join(map(str, range(10)))), 1: (10, " ".join(map(str, range(10, 20)))), 2: (5, "20 21 22 23 24")}
+
+
+def test_cell_edges(spark):
+    rng = random.Random(4)
+    rows = [(i, 0, [rng.gauss(c, 0.1), rng.gauss(-c, 0.1)]) for c in (0, 5, 10) for i in range(c * 100, c * 100 + 40)]
+    df = spark.createDataFrame(rows, "id long, build_id int, vec array<float>")
+    cent = spark.createDataFrame([(0, [0.0, 0.0]), (1, [5.0, -5.0]), (2, [10.0, -10.0])], "cluster_id int, centroid array<double>")
+    key = lambda d: sorted((r.src, r.rank, r.dst) for r in d.collect())
+    assert key(graph.cell_edges(df, cent, 2, 3, 1)) == key(graph.knn_edges(df, 2, 3))
