@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,10 +67,11 @@ CANDIDATES = {
         r"(?<![\w.+(-])(?:[12] \d\d \d\d \d\d \d{3} \d{3}(?: \d\d)?|\d\d \d{3} \d{3} \d{3})(?![\w-])",
     ],
     "address": [
-        rf"(?:(?i:flat|apt|apartment|unit|suite)\.?{_B}\w{{1,5}},{_B})?(?<![\w.-]){_NUM}{_B}(?:{_CAP}{_B}){{1,3}}{_TYPE}(?:,{_B}(?i:flat|apt|apartment|unit|suite)\.?{_B}\w{{1,5}})?(?:,?\s{{1,2}}{_TOWN}(?:,?{_B}\d{{4,5}}\b)?)?",
+        rf"(?<![\w.-]){_NUM}{_B}(?:{_CAP}{_B}){{1,3}}{_TYPE}(?:,{_B}(?i:flat|apt|apartment|unit|suite)\.?{_B}\w{{1,5}})?(?:,?\s{{1,2}}{_TOWN}(?:,?{_B}\d{{4,5}}\b)?)?",
         rf"(?<![\w-])(?:\p{{Lu}}[\p{{L}}]*(?i:straße|strasse|str\.|stra\p{{L}}+|weg|gasse|platz|allee)|(?:Am|Im|An der|Auf der|Zum){_B}{_CAP}){_B}\d{{1,4}}{_B}?[a-z]?(?:,\s{{1,2}}\d{{4,5}}{_B}{_TOWN})?",
         rf"(?<![\w.-])\d{{1,4}}(?:{_B}(?:bis|ter|quater))?,?{_B}(?i:rue|avenue|boulevard|place|chemin|quai|impasse){_B}(?:(?:de|du|des|de la){_B}|d['’])?{_CAP}(?:,\s{{1,2}}\d{{4,5}}{_B}{_TOWN})?",
         rf"(?<![\w-])(?:(?i:calle|avenida|plaza|paseo)){_B}(?:(?:de|del|de la){_B})?{_CAP},{_B}\d{{1,4}}(?:,{_B}\d{{1,2}}\.?[ºªo°]?{_B}?\p{{Lu}}?)?(?:,\s{{1,2}}\d{{4,5}}{_B}{_TOWN})?",
+        rf"(?:(?i:flat|apt|apartment|unit|suite)\.?{_B}\w{{1,5}},{_B})(?<![\w.-]){_NUM}{_B}(?:{_CAP}{_B}){{1,3}}{_TYPE}(?:,{_B}(?i:flat|apt|apartment|unit|suite)\.?{_B}\w{{1,5}})?(?:,?\s{{1,2}}{_TOWN}(?:,?{_B}\d{{4,5}}\b)?)?",
     ],
 }
 
@@ -123,6 +125,10 @@ _SHAPE = {
 }
 _MAYBE = {"phone": r"\(?0\d{2,5}\)?[ /-]?\d{3,}[\d -]*|\d{3}[ -]\d{3}[ -]\d{3}|[2-9]\d{9}", "ident": r"[A-Z]\d{6,8}|[A-Z]{2,3}\d{5,6}|\d{9,11}"}
 _HOUSE = re.compile(r"\d[a-zA-Z]?[ \xa0][^\W\d_a-z]")
+#: Cheap patterns that a text must hold for one of the others to be tried.
+_GATES = {("address", 0): _HOUSE, ("address", 4): _HOUSE, ("ident", 4): re.compile(r"\d{7}-?[A-Z]"), ("ident", 5): re.compile(r"\d \d\d[ \d]")}
+_CODE, _AREA = regex.compile(r"(?:\+|00)(\d+)"), regex.compile(r"\(?([2-9]\d\d)\)?\D{1,2}([2-9]\d\d)\D\d{4}$")
+_MAIL_NEXT = regex.compile(r"\W{0,3}\S+@")
 _DATE = regex.compile(r"(?:19|20)\d\d[-./]?(?:0\d|1[0-2])[-./]?(?:[0-2]\d|3[01])(?:\D.*)?")
 _IP, _DECIMAL = regex.compile(r"\d{1,3}(?:\.\d{1,3}){3}"), regex.compile(r"\d+\.\d+")
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
@@ -131,11 +137,12 @@ _CAPITAL = regex.compile(rf"(?<![\p{{L}}\p{{M}}\d'’.-])(?:(?:\p{{Lu}}\.)+(?!\p
 _GAP = regex.compile(rf"{_B}(?:(?P<particle>{_PARTICLE}){_B})*")
 _COMMA, _LEAD = regex.compile(rf",{_B}"), regex.compile(rf"(?<![\p{{L}}\p{{M}}])v[aáàâäoóòôö]n{_B}(?:d[eé][rn]?{_B})?$")
 #: What a text must hold, in lower case, for a pattern to be tried: any of these.
+_UNITS = ("flat", "apt", "apartment", "unit", "suite")
 _NEEDS = {
     ("email", 0): ("@", "[at]", "(at)", "{at}"), ("email", 1): (" dot ", " dot ", "[dot]", "(dot)", "{dot}"),
     ("address", 0): ("street", "road", "avenue", "lane", "court", "terrace", "drive", "place", "square", "close", "way", "boulevard", " ln", " rd", " ave", " st", " blvd", " dr"),
     ("address", 1): ("stra", "str.", "weg", "gasse", "platz", "allee", "Am ", "Im ", "An der ", "Auf der ", "Zum "),
-    ("address", 2): ("rue", "avenue", "boulevard", "place", "chemin", "quai", "impasse"), ("address", 3): ("calle", "avenida", "plaza", "paseo"),
+    ("address", 2): ("rue", "avenue", "boulevard", "place", "chemin", "quai", "impasse"), ("address", 3): ("calle", "avenida", "plaza", "paseo"), ("address", 4): _UNITS,
 }
 _COMPILED: dict[str, dict] = {}
 
@@ -220,8 +227,8 @@ def _value_votes(kind: str, value: str, text: str, start: int, end: int) -> tupl
     cue, after = _cue(text[max(0, start - 70) : start]), text[end : end + 20]
     plan = 0
     if kind == "phone":
-        code = regex.match(r"(?:\+|00)(\d+)", value)
-        lead = regex.match(r"\(?([2-9]\d\d)\)?\D{1,2}([2-9]\d\d)\D\d{4}$", value)
+        code = _CODE.match(value)
+        lead = _AREA.match(value)
         plan = 1 if code and _COUNTRY.match(code[1]) or lead else 0
         if not 9 <= digits <= 15 or value.count("(") != value.count(")") or _IP.fullmatch(value) or _DECIMAL.fullmatch(value) or _DATE.fullmatch(value):
             plan = -1
@@ -248,9 +255,16 @@ def _side(text: str, at: int) -> str:
 def _values(text: str, kind: str, low: str) -> Iterator[Span]:
     seen = set()
     for n, find in enumerate(_patterns(kind)["find"]):
-        need = _NEEDS.get((kind, n))
-        if need and not any(x in low or x in text for x in need) or kind == "address" and not n and not _HOUSE.search(text):
+        gate = _GATES.get((kind, n))
+        if gate and not gate.search(text):
             continue
+        need = _NEEDS.get((kind, n))
+        if need:
+            for x in need:
+                if x in low or x[0].isupper() and x in text:
+                    break
+            else:
+                continue
         for m in find.finditer(text):
             s, e = m.span()
             value = m[0]
@@ -320,7 +334,7 @@ def _name(text: str, s: int, e: int, words: list[str], form: str, i: int, j: int
             longer = -1
         if j + 1 < len(tokens) and tokens[j + 1][2] in "no" and _GAP.fullmatch(text, tokens[j][1], tokens[j + 1][0]):
             longer = -1
-    cue = 1 if _NAME_CUE.search(before) or regex.match(r"\W{0,3}\S+@", after) else 0
+    cue = 1 if _NAME_CUE.search(before) or _MAIL_NEXT.match(after) else 0
     votes = 1 if known else 0, 1 if known == len(parts) > 1 else 0, letters, written, thing, longer, cue
     return Span(s, e, "name", text[s:e], votes, f"{form}{len(words)}{'u' if text[s:e].isupper() else ''}|{_side(text, s - 1)}|{_side(text, e)}")
 
@@ -457,17 +471,23 @@ _SPANS = "array<struct<start: int, end: int, kind: string, value: string, votes:
 def candidates(documents: DataFrame, g: Gazetteer) -> DataFrame:
     """(doc_id, spans) of the documents with any candidate."""
     shared = documents.sparkSession.sparkContext.broadcast(g)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("votes", pa.list_(pa.int32())), ("form", pa.string())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(d, [s.__dict__ for s in got]) for d, t in zip(pdf.doc_id, pdf.text) if (got := spans(t, shared.value))]
-            yield pd.DataFrame(out, columns=["doc_id", "spans"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, out = [], []
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                if got := spans(t, shared.value):
+                    ids.append(d)
+                    out.append([s.__dict__ for s in got])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, kind)], names=["doc_id", "spans"])
 
-    return documents.filter("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, f"doc_id long, spans {_SPANS}")
+    plain_ = documents.filter("text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return plain_.mapInArrow(run, f"doc_id long, spans {_SPANS}")
 
 
 #: Words of letters only that are no part of an address, a path or a number.
-_WORDS = r"(?<![\p{L}\p{M}\d_.@+'’/-])\p{L}{3,}(?![\p{L}\p{M}\d_@]|[-.+'’]\p{L})"
+_WORDS = r"(?<![\p{L}\p{M}\d_.@+'’/-])\p{L}{3,}+(?![\p{L}\p{M}\d_@]|[-.+'’]\p{L})"
 
 
 def gazetteer(documents: DataFrame, known_names: DataFrame) -> Gazetteer:
