@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodevec.session import small, written
+
 #: Rows a builder takes before it writes its containers out.
 FLUSH_ROWS = 1_000_000
 CHUNK_BITS, ARRAY_MOST, BITMAP_BYTES = 16, 4096, 8192
@@ -173,7 +175,8 @@ def grams(index: DataFrame) -> DataFrame:
 
 def marked(freq: DataFrame, rare_most: int, common_share: int) -> DataFrame:
     """freq with mark: rare with at most rare_most items, else common with at least 1/common_share of the build's."""
+    freq = written(freq, "terms")  # read twice
     total = freq.filter("term is null").select("build_id", F.col("items").alias("total"))
-    named = freq.filter("term is not null").join(F.broadcast(total), "build_id")
+    named = freq.filter("term is not null").join(small(total, 32), "build_id")
     mark = F.when(F.col("items") <= rare_most, "rare").when(F.col("items") * common_share >= F.col("total"), "common")
     return named.withColumn("mark", mark)
