@@ -722,6 +722,20 @@ def vector_files(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+@query("string_lines", r"SELECT row_number() OVER (ORDER BY id) - 1 AS id, regexp_replace(text, '[\r\n]+', ' ', 'g') AS str FROM items WHERE text IS NOT NULL")
+def string_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as a file of lines, one a row, read again; ids are line numbers. The form is one file."""
+    path = f"{checkpoint_dir(spark)}/strings-{uuid.uuid4().hex}"
+    lines = table(spark, d, "items").filter("text is not null").select("id", F.regexp_replace("text", r"[\r\n]+", " ").alias("value"))
+    lines.orderBy("id").select("value").coalesce(1).write.text(path)
+    return textio.load_strings(spark, path)
+
+
+@query("first_rows", "SELECT id, text AS str FROM items ORDER BY id LIMIT 50")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).orderBy("id").limit(50).select("id", "str")
+
+
 @query("query_text_tabs", f"WITH {_ITEMS}, {_ITEM_Q} SELECT qid, regex, i::INT AS pos, round(printf('%.6f', qvec[i + 1])::FLOAT::DOUBLE, 6) AS x FROM q, range({DIM}) t(i)")
 def query_text_tabs(spark: SparkSession, d: str) -> DataFrame:
     """The form with a tab, in which patterns may hold blanks."""
