@@ -1,11 +1,11 @@
 """The k nearest vectors of every vector by multi-index hashing over learned binary codes.
 
 A rotation is learned for each build (principal directions, damped by their spread, then iterative quantisation) on a
-bounded sample; signs after the rotation are a row's code. The code is cut into TABLES substrings and each is an index
-of its own: rows with the same substring share a bucket. By the pigeonhole principle two codes that differ in fewer
-than TABLES * (flips + 1) bits share a substring but for at most `flips` bits, so probing a row's own bucket in every
-index, and with flips = 1 those one bit away, retrieves all codes within that Hamming radius, and many beyond it. What is
-retrieved is reranked by distance on the vectors.
+bounded sample; signs after the rotation are a row's code. The code is cut into substrings, four and more the larger the
+build, and each is an index of its own: rows with the same substring share a bucket. By the pigeonhole principle two
+codes that differ in fewer than 4 * (flips + 1) bits share a substring but for at most `flips` bits, so probing a row's
+own bucket in every index, and with flips = 1 those one bit away, retrieves all codes within that Hamming radius, and
+many beyond it. What is retrieved is reranked by distance on the vectors.
 
 Every row is indexed, in builds of any size. Vectors travel with 16 bits of mantissa, once for each index, and the error
 of each; where rounding could change which k are nearest, and wherever distances are asked for, the stored vectors
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from lodevec.functions import vector as V
 from lodevec.session import written
 
-TABLES = 4
 BLOCK = 16_384
 #: Rows a build's rotation is learned on (about), and rows a bucket should hold at most, whatever the build's size.
 SAMPLE, BUCKET_ROWS = 10_000, 8192
@@ -48,6 +47,18 @@ def substring_bits(n: int) -> int:
     return min(20, max(1, round(math.log2(max(n, 2)) / 3), math.ceil(math.log2(max(n, 1) / BUCKET_ROWS))))
 
 
+def tables(n: int) -> int:
+    """Substrings for a build of n rows: longer substrings miss more neighbours each, which more of them make up for."""
+    return 4 + max(0, math.ceil((math.log2(max(n, 2)) - 17) / 2))
+
+
+def places(t: int, bits: int, length: int) -> np.ndarray:
+    """Bits of substring t of a code: the next ones, and where the code has no more a fixed choice of them."""
+    if (t + 1) * bits <= length:
+        return np.arange(t * bits, (t + 1) * bits)
+    return np.sort(np.random.default_rng(t).choice(length, min(bits, length), replace=False))
+
+
 def learn(x: np.ndarray, bits: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(mean, rotation): the code of v is the signs of (v - mean) @ rotation."""
     mean = x.mean(0)
@@ -135,10 +146,10 @@ _BLOB = "task int, unit int, n int, blob binary"
 _NEAR = "id long, near array<struct<d: double, o: long>>, err double"
 
 
-def _fit(pdf: pd.DataFrame, dim: int, bits: dict[int, int]) -> pd.DataFrame:
+def _fit(pdf: pd.DataFrame, dim: int, bits: dict[int, int], count: dict[int, int]) -> pd.DataFrame:
     b = int(pdf.build_id.iloc[0])
     x = np.stack(pdf.sort_values("id").vec.values).astype("f8")
-    mean, rotation = learn(x, min(dim, bits[b] * TABLES))
+    mean, rotation = learn(x, min(dim, bits[b] * count[b]))
     return pd.DataFrame({"build_id": [b], "mean": [mean.tolist()], "rotation": [rotation.ravel().tolist()]})
 
 
@@ -146,11 +157,12 @@ class Router:
     """Buckets of rows: for each table the number of the bucket, build by build."""
 
     def __init__(self, dim: int, sizes: dict[int, int], models: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.dim, self.models, self.base, self.bits, at = dim, models, {}, {}, 0
+        self.dim, self.models, self.base, self.bits, self.tables, at = dim, models, {}, {}, {}, 0
         for b in sorted(sizes):
             self.bits[b] = substring_bits(sizes[b]) if b in models else 0
             self.base[b] = at
-            at += TABLES << self.bits[b]
+            self.tables[b] = tables(sizes[b]) if self.bits[b] else 1
+            at += self.tables[b] << self.bits[b]
         self.buckets = at
 
     def __call__(self, build: np.ndarray, x: np.ndarray, flips: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,8 +172,8 @@ class Router:
             at = np.flatnonzero(build == b)
             s = self.bits[b]
             code = (x[at] - self.models[b][0]) @ self.models[b][1] > 0 if s else np.zeros((len(at), 0), "?")
-            for t in range(TABLES if s else 1):
-                sub = code[:, t * s : (t + 1) * s]
+            for t in range(self.tables[b]):
+                sub = code[:, places(t, s, code.shape[1])]
                 own = sub @ (1 << np.arange(sub.shape[1])) if s else np.zeros(len(at), "i8")
                 for flip in [0, *((1 << np.arange(sub.shape[1])) if flips else ())]:
                     rows.append(at)
@@ -368,12 +380,12 @@ def neighbours(vectors: DataFrame, dim: int, k: int = 5, flips: int = 0, distanc
                 h = (b.column("id").to_numpy().astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
                 yield b.filter(pa.array(h % every == 0))
 
-    fit = partial(_fit, dim=dim, bits=bits)
+    fit = partial(_fit, dim=dim, bits=bits, count={b: tables(n) for b, n in sizes.items()})
     part = rows.mapInArrow(sampled, "id long, build_id long, vec array<float>")
     for r in part.groupBy("build_id").applyInPandas(lambda pdf: fit(pdf), "build_id long, mean array<float>, rotation array<float>").toLocalIterator():
         models[r.build_id] = (np.array(r["mean"], "f4"), np.array(r.rotation, "f4").reshape(dim, -1))
     merged = written(_best(_search(rows, dim, k, Router(dim, sizes, models), flips), k), "near")
-    want = {b: n for b, n in sizes.items() if n > k}
+    want = {b: n for b, n in sizes.items() if n > 1}  # of builds of no more than k rows all are scanned
     if want:
         in_want = rows.filter(F.col("build_id").isin(sorted(want))) if len(want) < len(sizes) else rows
         asking = written(in_want.join(merged.filter(F.size("near") >= k).select("id"), "id", "left_anti"), "asking")
