@@ -309,7 +309,8 @@ EXPRESSIONS = 32
 
 def match_counts(corpus: DataFrame, patterns: dict[int, str], case_sensitive: bool = False) -> DataFrame:
     """(qid, matches) of every valid pattern, 0 included, in one pass over the texts. Null texts match nothing. Each
-    distinct pattern is compiled once a task."""
+    distinct pattern is compiled once a task, and of many patterns each is tried on the texts only that hold the trigrams
+    it needs."""
     good = {q: p for q, p in patterns.items() if regexplan.valid(p)}
     spark = corpus.sparkSession
     if not good:
@@ -321,12 +322,15 @@ def match_counts(corpus: DataFrame, patterns: dict[int, str], case_sensitive: bo
     distinct = sorted(set(good.values()))
     at = {p: i for i, p in enumerate(distinct)}
 
+    plans = [regexplan.required(p) for p in distinct]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search, n = [regexplan.compiled(p, case_sensitive).search for p in distinct], np.zeros(len(distinct), "i8")
         for b in batches:
             texts = [t for t in b.column("str").to_pylist() if t is not None]
-            for i, s in enumerate(search):
-                n[i] += sum(1 for t in texts if s(t))
+            held = regexplan.postings(texts)
+            for i, (s, plan) in enumerate(zip(search, plans)):
+                n[i] += sum(1 for t in regexplan.allowed(held, plan, len(texts)) if s(texts[t]))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["p", "n"])
 
     per = corpus.select("str").mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("matches"))
