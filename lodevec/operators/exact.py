@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodevec.functions import vector as V
+from lodevec.operators import literals
 from lodevec.plans import regexplan
 from lodevec.session import BROADCAST_LIMIT
 
@@ -55,14 +56,15 @@ def batch(queries: DataFrame, row_bytes: int = 0) -> Iterator[list[Query]]:
 
 
 def distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """In double precision; the sum runs in the same order for every row, so equal vectors get equal distances."""
+    """In double precision, to one q or to that of each row; the sum runs in the same order for every row, so equal
+    vectors get equal distances."""
     x = x.astype("f8")
     if metric == "l2":
         return np.sqrt(np.square(x - q).sum(1))
     dot = (x * q).sum(1)
     if metric == "ip":
         return -dot
-    return 1 - dot / (np.sqrt(np.square(x).sum(1)) * np.sqrt(np.square(q).sum()))
+    return 1 - dot / (np.sqrt(np.square(x).sum(1)) * np.sqrt(np.square(q).sum(-1)))
 
 
 def _rough(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -194,6 +196,71 @@ def _local(queries: list[Query], keep: int | None, metric: str, filtered: bool,
     return run
 
 
+def _many(queries: list[Query], keep: int, metric: str, case_sensitive: bool, builds: bool):
+    """mapInArrow function, as _local with filtered and keep, for many patterns: queries of a build and pattern meet the
+    rows that match it together, and of those only the ones near enough for a query are compared exactly."""
+    vecs, qids = np.array([q.vec for q in queries], "f8"), np.array([q.qid for q in queries], "i8")
+    dim = vecs.shape[1]
+    asked: dict[int | None, dict[str, list[int]]] = {}
+    for i, q in enumerate(queries):
+        if not builds or q.build is not None:
+            asked.setdefault(q.build if builds else None, {}).setdefault(q.regex, []).append(i)
+    asked = {b: {p: np.array(m) for p, m in by.items()} for b, by in asked.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns: dict[int | None, literals.Patterns] = {}
+        best = [(np.zeros(0), np.zeros(0, "i8"))] * len(qids)
+        far = np.full(len(qids), np.inf)  # the k-th distance of each query, as _rough has it
+
+        def meet(x: np.ndarray, ids: np.ndarray, mine: np.ndarray) -> None:
+            q = vecs[mine]
+            rough = _rough(x, q, metric).T
+            slack = 1e-9 * (1 + np.square(x).sum(1).max() + np.square(q).sum(1))
+            limit = far[mine]
+            if len(x) > 2 * keep and len(new := np.flatnonzero(np.isinf(limit))):
+                limit[new] = np.partition(rough[new], keep - 1, axis=1)[:, keep - 1]
+            near, row = np.nonzero(~(rough > (limit + slack)[:, None]))
+            for part in range(0, len(near), strip := max(1, (1 << 21) // dim)):
+                k, r = near[part : part + strip], row[part : part + strip]
+                d = distances(x[r], q[k], metric)
+                edge = np.append(np.flatnonzero(np.diff(k, prepend=-1)), len(k))
+                for a, b in zip(edge[:-1], edge[1:]):
+                    i = mine[k[a]]
+                    ds, got = np.append(best[i][0], d[a:b]), np.append(best[i][1], ids[r[a:b]])
+                    cut = smallest(ds, got, keep)
+                    best[i] = ds[cut], got[cut]
+                    if len(cut) == keep:
+                        far[i] = ds[cut[-1]] ** 2 if metric == "l2" else ds[cut[-1]]
+
+        for b in literals.blocks(batches, max(1, (1 << 21) // dim)):
+            at, x = V.matrix(b.column("vec"), dim, "f8")
+            place = pa.array(at)
+            ids, texts = b.column("id").take(place).to_numpy(), b.column("str").take(place)
+            build = b.column("build").take(place).to_numpy() if builds else None
+            for name, by in asked.items():
+                rows = np.flatnonzero(build == name) if builds else np.arange(len(at))
+                if not len(rows):
+                    continue
+                if name not in patterns:
+                    patterns[name] = literals.Patterns(list(by), case_sensitive)
+                block = patterns[name].block(texts.take(pa.array(rows)))
+                for p, mine in enumerate(by.values()):
+                    hit = rows[block.rows(p)]
+                    if len(hit):
+                        some, strip = x[hit], max(1, (1 << 21) // len(hit))
+                        for i in range(0, len(mine), strip):
+                            meet(some, ids[hit], mine[i : i + strip])
+        size = max(1, (1 << 16) // keep)
+        for i in range(0, len(best), size):
+            some = best[i : i + size]
+            n = [len(d) for d, _ in some]
+            if sum(n):
+                d, got = (np.concatenate(c) for c in zip(*some))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[i : i + size], n)), pa.array(got), pa.array(d), pa.array(np.ones(len(d), "?"))], names=["qid", "id", "dist", "hit"])
+
+    return run
+
+
 def cells_of(block: list[Query], cells: DataFrame, column: str = "cell") -> list[np.ndarray]:
     """Of each query of a block its cells; cells: (qid, cell). The caller has counted them into the block's size."""
     names = {q.qid for q in block}
@@ -224,6 +291,9 @@ def _scan(corpus: DataFrame, queries: DataFrame, keep: int | None, metric: str,
             mask = mask_of(block, case_sensitive)
             if filtered and len({q.regex for q in block}) <= MASK_BITS:
                 asked = asked.withColumn("mask", mask).filter("mask <> 0").drop("str")
+            if filtered and keep and mine is None and len({q.regex for q in block}) > MASK_BITS:
+                out = out.unionByName(asked.filter("str is not null and build is not null" if builds else "str is not null").mapInArrow(_many(block, keep, metric, case_sensitive, builds), _HITS))
+                continue
             out = out.unionByName(asked.mapInArrow(_local(block, keep, metric, filtered, case_sensitive, builds, mine), _HITS))
     return out
 
@@ -309,8 +379,7 @@ EXPRESSIONS = 32
 
 def match_counts(corpus: DataFrame, patterns: dict[int, str], case_sensitive: bool = False) -> DataFrame:
     """(qid, matches) of every valid pattern, 0 included, in one pass over the texts. Null texts match nothing. Each
-    distinct pattern is compiled once a task, and of many patterns each is tried on the texts only that hold the trigrams
-    it needs."""
+    distinct pattern is made ready once a task; many patterns are answered from where their words stand (literals)."""
     good = {q: p for q, p in patterns.items() if regexplan.valid(p)}
     spark = corpus.sparkSession
     if not good:
@@ -322,17 +391,14 @@ def match_counts(corpus: DataFrame, patterns: dict[int, str], case_sensitive: bo
     distinct = sorted(set(good.values()))
     at = {p: i for i, p in enumerate(distinct)}
 
-    plans = [regexplan.required(p) for p in distinct]
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, n = [regexplan.compiled(p, case_sensitive).search for p in distinct], np.zeros(len(distinct), "i8")
-        for b in batches:
-            texts = [t for t in b.column("str").to_pylist() if t is not None]
-            held = regexplan.postings(texts)
-            for i, (s, plan) in enumerate(zip(search, plans)):
-                n[i] += sum(1 for t in regexplan.allowed(held, plan, len(texts)) if s(texts[t]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["p", "n"])
-
-    per = corpus.select("str").mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("matches"))
+        ready, n = literals.Patterns(distinct, case_sensitive), np.zeros(len(distinct), "i8")
+        for b in literals.blocks(batches, 1 << 17):
+            block = ready.block(b.column("str"))
+            n += np.array([len(block.rows(i)) for i in range(len(n))], "i8")
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["p", "n"])
+
+    per = corpus.select("str").filter("str is not null").mapInArrow(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("matches"))
     names = spark.createDataFrame([(q, at[p]) for q, p in good.items()], "qid long, p long")
     return names.join(F.broadcast(per), "p", "left").select("qid", F.coalesce("matches", F.lit(0)).cast("long").alias("matches"))

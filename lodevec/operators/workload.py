@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +32,8 @@ def style_regex(style: str, words: Column, pick: Column) -> Column:
 def candidates(rows: DataFrame, styles: tuple[str, ...] = STYLES) -> DataFrame:
     """(id, style, regex): every style a row's text can give; word choice follows the id."""
     words = rows.select("id", T.extract_words(F.col("str")).alias("w")).filter("w is not null")
-    each = [words.select("id", F.lit(s).alias("style"), style_regex(s, F.col("w"), F.col("id")).alias("regex")) for s in styles]
-    return reduce(DataFrame.unionByName, each).filter("regex is not null")
+    each = F.array(*[F.struct(F.lit(s).alias("style"), style_regex(s, F.col("w"), F.col("id")).alias("regex")) for s in styles])
+    return words.select("id", F.inline(each)).filter("regex is not null")
 
 
 def with_selectivity(queries: DataFrame, counts: DataFrame, total: int, lo: float, hi: float, k: int = 10) -> DataFrame:

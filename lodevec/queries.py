@@ -606,7 +606,8 @@ def query_gen_accepted(spark: SparkSession, d: str) -> DataFrame:
 
 @query("query_gen_truth", f"WITH {_GENERATED}, q AS (SELECT qid, regex, vec AS qvec, build_id FROM kept JOIN corpus USING (id)), {_GT} {_TOP.format('hits', K)}")
 def query_gen_truth(spark: SparkSession, d: str) -> DataFrame:
-    q = written(_generated(spark, d), "workload").join(items(spark, d).select("id", "build_id"), "id")
+    kept = written(_generated(spark, d).filter(V.usable(F.col("qvec"), DIM)), "workload")
+    q = small(kept, 600).join(items(spark, d).select("id", "build_id"), "id")
     return rounded(exact.groundtruth(items(spark, d), q, K))
 
 
